@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import quality_rules
+from quillon.llm import line_dedup, quality_rules, unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,10 +52,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "n_lines", F.size("removed_lines").alias("n_removed"), F.concat_ws(",", "removed_lines").alias("removed_lines"))
+
+
+_OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents
+),
+h AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+g AS (
+  SELECT doc_id, p, i, lead(i, 1) OVER w AS i1, lead(i, 2) OVER w AS i2,
+    line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS occurrence FROM g WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i1, i2]) AS i FROM r WHERE occurrence > 1)
+SELECT d.doc_id, k.text, coalesce(n.n, 0)::INTEGER AS n_lines, coalesce(x.n, 0)::INTEGER AS n_removed, coalesce(x.lines, '') AS removed_lines
+FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS lines FROM gone GROUP BY doc_id) x USING (doc_id)
+LEFT JOIN (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT removed), '') AS text
+  FROM (SELECT l.*, gone.i IS NOT NULL AS removed FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i) GROUP BY doc_id
+) k USING (doc_id)
+"""
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = unit_dedup.dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.expr("aggregate(removed, 0, (n, s) -> n + s.end - s.start)")
+    return out.select("doc_id", "text", F.size("removed").alias("n_removed"), cut.alias("removed_chars"), F.expr("array_join(transform(removed, s -> concat(s.start, '-', s.end)), ',')").alias("removed"))
+
+
+_OP10_SQL = r"""
+WITH u AS (
+  SELECT doc_id, generate_subscripts(us, 1) - 1 AS i, unnest(us) AS unit
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS us FROM documents)
+),
+o AS (SELECT doc_id, i, unit, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start,
+  trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM u),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q, len(string_split(s, ' ')) AS words FROM o WHERE s <> '' AND len(string_split(s, ' ')) >= 5),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, q) AS occurrence FROM c) WHERE occurrence > 1),
+p AS (SELECT doc_id, min(i) AS a, max(i) AS b, min(start) AS start, max(start + length(unit)) AS stop
+  FROM (SELECT *, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS island FROM r) GROUP BY doc_id, island HAVING sum(words) >= 25),
+k AS (SELECT doc_id, string_agg(unit, '' ORDER BY i) AS text FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = o.doc_id AND o.i BETWEEN p.a AND p.b) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(x.n, 0)::INTEGER AS n_removed, coalesce(x.chars, 0)::INTEGER AS removed_chars, coalesce(x.spans, '') AS removed
+FROM documents d LEFT JOIN k USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n, sum(stop - start) AS chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM p GROUP BY doc_id) x USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2_SQL,
+    "op5_line_dedup": _OP5_SQL,
+    "op10_substring_dedup": _OP10_SQL,
 }
