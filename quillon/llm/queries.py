@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, quality_rules, unit_dedup
+from quillon.llm import line_dedup, quality_rules, topk_search, unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,14 +104,34 @@ FROM documents d LEFT JOIN k USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n, sum(stop - start) AS chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM p GROUP BY doc_id) x USING (doc_id)
 """
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+_OP7_SQL = """
+WITH e AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op7_topk_search": op7_topk_search,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2_SQL,
     "op5_line_dedup": _OP5_SQL,
+    "op7_topk_search": _OP7_SQL,
     "op10_substring_dedup": _OP10_SQL,
 }
