@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, quality_rules, topk_search, unit_dedup
+from quillon.llm import line_dedup, near_dedup, quality_rules, topk_search, unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,10 +122,34 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+_OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)] END) AS sh
+  FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- sets that share no shingle have no link; shingles found once join nothing
+k AS (SELECT doc_id, sh FROM s WHERE sh IN (SELECT sh FROM s GROUP BY sh HAVING count(*) > 1)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM k a JOIN k b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 85 * (x.n + y.n - both_n)),
+r AS (SELECT doc_id AS v, doc_id AS m FROM documents UNION SELECT e.a, r.m FROM r JOIN e ON e.b = r.v),
+c AS (SELECT v, min(m) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op7_topk_search": op7_topk_search,
+    "op8_near_dedup": op8_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -133,5 +157,6 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2_SQL,
     "op5_line_dedup": _OP5_SQL,
     "op7_topk_search": _OP7_SQL,
+    "op8_near_dedup": _OP8_SQL,
     "op10_substring_dedup": _OP10_SQL,
 }
