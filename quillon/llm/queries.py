@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, near_dedup, quality_rules, topk_search, unit_dedup
+from quillon.llm import line_dedup, near_dedup, packing, quality_rules, token_store, topk_search, unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,24 @@ FROM f
 """
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = token_store.write_tokens(docs, token_store.folder_in(spark), tokenizer_path(), end_id=2, shards=shards)
+    return token_store.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, capacity=2048)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", "n_lines", F.size("removed_lines").alias("n_removed"), F.concat_ws(",", "removed_lines").alias("removed_lines"))
@@ -148,6 +166,8 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op3_token_store": op3_token_store,
+    "op9_packing": op9_packing,
     "op7_topk_search": op7_topk_search,
     "op8_near_dedup": op8_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
