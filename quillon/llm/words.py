@@ -66,11 +66,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, valid
 
 
-def _piece_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word of a piece; no word crosses a place in cuts."""
+def _piece_words(data: np.ndarray, cuts: np.ndarray, lower: bool, between: np.ndarray = _IS_SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hash, start, end) of every word of a piece, then for each of prefixes the hash of the word's first so many
+    bytes, 0 for words that are no longer.  between: which bytes stand between words.  No word crosses a place in cuts."""
     if not len(data):
-        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
-    inside = ~_IS_SPACE[data]
+        return (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * len(prefixes)
+    inside = ~between[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -82,7 +83,11 @@ def _piece_words(data: np.ndarray, cuts: np.ndarray, lower: bool) -> tuple[np.nd
     up, down = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_VALUES[lower][data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+    out = [mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end]
+    for n in prefixes:
+        at = np.minimum(start + n, len(data))
+        out.append(np.where(end - start > n, mix((total[at] - total[start]) * down[start] + np.uint64(n << 32)), np.uint64(0)))
+    return tuple(out)
 
 
 def words_by_text(texts: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray]]:
