@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import line_dedup, near_dedup, packing, quality_rules, token_store, topk_search, unit_dedup
+from quillon.llm import line_dedup, near_dedup, packing, piece_nbest, quality_classifier, quality_rules, token_store, topk_search, toxicity, unit_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,7 +163,42 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.v = d.doc_id
 """
 
+
+def _held_out(docs: DataFrame) -> DataFrame:
+    """docs with held_out: whether a document's labels are kept from every fit."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
+
+
+def _learnable(labels: DataFrame) -> DataFrame:
+    return _held_out(labels).where("not held_out").drop("held_out")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, _learnable(table(spark, sf_dir, "labels")))
+    scored = _held_out(quality_classifier.score(docs, model))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_score", "metadata_score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _learnable(table(spark, sf_dir, "labels")))
+    scored = _held_out(toxicity.score(docs, model))
+    spans = F.expr("array_join(transform(spans, s -> concat(s.start, '-', s.end)), ',')")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), spans.alias("spans"))
+
+
+def op6_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    encoded = piece_nbest.encode_texts(table(spark, sf_dir, "documents"), model, n=4)
+    encoded = encoded.withColumn("n_pieces", F.size("ids")).withColumn("ids_crc32", F.crc32(F.array_join("ids", ",")))
+    decoded = piece_nbest.decode_ids(encoded, model)
+    return decoded.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", F.length("text").alias("n_chars"), F.crc32("text").alias("text_crc32"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op4_toxicity": op4_toxicity,
+    "op6_piece_nbest": op6_piece_nbest,
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op3_token_store": op3_token_store,
