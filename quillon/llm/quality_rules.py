@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import written
+
 #: What separates words, as characters for TRIM and TRANSLATE and as a pattern.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -157,4 +159,6 @@ def filter_documents(docs: DataFrame, policy: str = "v1", id_column: str = "doc_
     repeated ids do no harm."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__doc_text"))
     judged = apply_policy(ledger(row, id_column="__row", text_column="__doc_text"), policy)
-    return judged.where("kept").select("__row.*")
+    # The whole ledger is written with its rows before any is dropped: a filter pushed below the measurements would hold a
+    # copy of each for every use, some of them inside loops over words.
+    return written(judged, "ledger").where("kept").select("__row.*")
