@@ -40,3 +40,16 @@ def stratified_split(df: DataFrame, key: str, stratum: str, train: int, dev: int
     ranked = df.withColumn("place", place).join(for_train, stratum).join(for_dev, stratum)
     split = F.when(F.col("place") <= F.col("train_quota"), "train").when(F.col("place") <= F.col("train_quota") + F.col("dev_quota"), "dev").otherwise("reserve")
     return ranked.withColumn("split", split).drop("place", "train_quota", "dev_quota")
+
+
+def paged(df: DataFrame, part: str, size: int, *order: Column) -> DataFrame:
+    """Rank, page and total_pages of each row within its part."""
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    n = F.count("*").over(Window.partitionBy(part))
+    return df.withColumn("rank", rank).withColumn("page", F.ceil(F.col("rank") / size).cast("int")).withColumn("total_pages", F.ceil(n / size).cast("int"))
+
+
+def leaks(df: DataFrame, key: str, split: str) -> DataFrame:
+    """The keys that more than one split holds, as hashes, with how many splits."""
+    found = df.groupBy(key).agg(F.count_distinct(F.col(split)).alias("n_splits")).where("n_splits > 1")
+    return found.select(F.sha2(F.col(key).cast("string"), 256).alias("key_sha256"), "n_splits")

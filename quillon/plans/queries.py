@@ -61,7 +61,16 @@ def j9_resume_anti_join(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (d1_latest, d3_first, d9_stratified_split, a1_fixed_denominator, a4_repeats, a10_distribution, a12_histogram, a15_agreement, a17_transitions, n2_query_template, j9_resume_anti_join)}
+def d21_paged(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return ranking.paged(o, "o_custkey", 5, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "rank", "page", "total_pages")
+
+
+def g3_leaks(spark, sf_dir):
+    return ranking.leaks(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus")
+
+
+QUERIES = {f.__name__: f for f in (d1_latest, d3_first, d9_stratified_split, a1_fixed_denominator, a4_repeats, a10_distribution, a12_histogram, a15_agreement, a17_transitions, n2_query_template, j9_resume_anti_join, d21_paged, g3_leaks)}
 
 _QUOTA = "({total} * n) // of + (row_number() OVER (ORDER BY ({total} * n) % of DESC, s) <= {total} - sum(({total} * n) // of) OVER ())::BIGINT"
 
@@ -92,4 +101,8 @@ SELECT "left", "right", count(*) AS n FROM n WHERE "right" IS NOT NULL GROUP BY
 SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\d+(?:\.\d+)?', '<num>', 'g'), '[^\w<>]+', '', 'g') AS template,
   regexp_replace(replace(lower(p_name || ' / ' || p_type), '/', '|'), '\s+', '', 'g') AS option, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS plain FROM part""",
     "j9_resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "d21_paged": """
+SELECT o_orderkey, r::INT AS rank, ((r + 4) // 5)::INT AS page, ((count(*) OVER (PARTITION BY o_custkey) + 4) // 5)::INT AS total_pages
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)""",
+    "g3_leaks": "SELECT sha256(o_custkey::VARCHAR) AS key_sha256, count(DISTINCT o_orderstatus) AS n_splits FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1",
 }
