@@ -9,8 +9,13 @@ from quillon.llm import quality_classifier, queries, toxicity
 
 
 
-# The field learns spans from document labels and needs some hundred toxic ones; at sf0.01 it has about 25 (README).
-@pytest.mark.parametrize(("query", "label", "sf", "least"), [("op1_quality_classifier", "quality", "sf0.01", 0.97), ("op4_toxicity", "toxic", "sf0.1", 0.97)])
+few = pytest.mark.xfail(reason="too few toxic documents to learn from at sf0.01: 98 of 113 held-out ones right (README)")
+
+
+@pytest.mark.parametrize(
+    ("query", "label", "sf", "least"),
+    [("op1_quality_classifier", "quality", "sf0.01", 0.97), pytest.param("op4_toxicity", "toxic", "sf0.01", 0.93, marks=few), ("op4_toxicity", "toxic", "sf0.1", 0.97)],
+)
 def test_held_out_accuracy(spark, query, label, sf, least):
     folder = f"/root/testdata/{sf}"
     labels = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{folder}/labels.parquet'").fetchall())
