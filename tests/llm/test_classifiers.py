@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark, query, label, sf, least):
     folder = f"/root/testdata/{sf}"
     labels = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{folder}/labels.parquet'").fetchall())
     rows = queries.QUERIES[query](spark, folder).collect()
-    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchone()[0]
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{folder}/documents.parquet'").fetchall()[0][0]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) >= least
