@@ -33,6 +33,7 @@ MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 3000, 6000, 200_000
 BLOCK = 64
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
+MEASURES = 4
 _REACH, _STRETCHES = 16, 6
 
 _BETWEEN = np.ones(256, dtype=bool)
@@ -178,15 +179,17 @@ def marginals(evidence: np.ndarray, bounds: np.ndarray, chain: np.ndarray, block
 
 
 def _measures(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A document's measures: the largest marginal, log(1 + their sum), and whether two tokens are more likely than not."""
+    """A document's measures: the largest marginal, log(1 + their sum), whether two tokens are more likely than not, and
+    the log of the marginals' sum a thousand tokens."""
     n = len(bounds) - 1
-    out = np.zeros((n, 3))
+    out = np.zeros((n, MEASURES))
     some = np.flatnonzero(np.diff(bounds) > 0)
     if len(some):
         sure = np.where(p > 0.1, p, 0.0)  # many small chances are no evidence
         out[some, 0] = np.maximum.reduceat(p, bounds[some])
         out[some, 1] = np.log1p(np.add.reduceat(sure, bounds[some]))
         out[some, 2] = np.add.reduceat((p > 0.5).astype(float), bounds[some]) >= 2
+        out[some, 3] = np.log1p(1000 * np.add.reduceat(sure, bounds[some]) / np.diff(bounds)[some])
     return out
 
 
@@ -212,10 +215,10 @@ def _telling(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (share > base) & (surprise > 16) & (odds > 5)
 
 
-def _stretches(tags: np.ndarray, toxic: int, seed: int) -> list[tuple[int, int]]:
-    """Up to _STRETCHES stretches of a document's tokens: around labelled ones, else at places spread by a hash."""
-    n = len(tags)
-    places = np.flatnonzero(tags)
+def _stretches(found: np.ndarray, seed: int) -> list[tuple[int, int]]:
+    """Up to _STRETCHES stretches of a document's tokens: around those with a telling feature, else at places spread by a hash."""
+    n = len(found)
+    places = np.flatnonzero(found)
     if not len(places):
         places = (mix(np.arange(1, 1 + _STRETCHES // 2, dtype=np.uint64) * np.uint64(seed + 1)) % np.uint64(max(n, 1))).astype(np.int64)
     out: list[tuple[int, int]] = []
@@ -288,7 +291,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
     """texts and their labels (0 or 1).  shares: which part of the clean and of the toxic labelled documents the sample has.
     Of copies, exact or near, one is used: those that share their smallest hash of five words."""
-    empty = Model(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.zeros(4), None)
+    empty = Model(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.zeros(1 + MEASURES), None)
     if not len(toxic) or toxic.min() == toxic.max():
         empty.constant = float(toxic.mean()) if len(toxic) else 0.5
         return empty
@@ -311,14 +314,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0,
     telling[0] = False
     rows = []
     for k in training:
-        tags = telling[features[k]].any(1) & bool(toxic[k])
-        rows += [(features[k][a:b], tags[a:b]) for a, b in _stretches(tags, int(toxic[k]), k)]
+        found = telling[features[k]].any(1)  # in clean documents the field learns which of them to pass over
+        tags = found & bool(toxic[k])
+        rows += [(features[k][a:b], tags[a:b]) for a, b in _stretches(found, k)]
     weights, chain = _fit_chain(rows)
-    model = Model(weights, chain, np.zeros(4))
+    model = Model(weights, chain, np.zeros(1 + MEASURES))
     x = np.vstack([_measures(marginals(_evidence(model, features[k]), np.array([0, len(features[k])]), chain), np.array([0, len(features[k])])) for k in checking])
     y = toxic[checking]
     if len(set(y.tolist())) < 2:
-        x = np.vstack([x, [[0, 0, 0], [1, 1, 1]]])
+        x = np.vstack([x, np.zeros((1, MEASURES)), np.ones((1, MEASURES))])
         y = np.concatenate([y, [0, 1]])
     weight = np.where(y == 1, 1 / max(shares[1], 1e-9), 1 / max(shares[0], 1e-9))
     model.fit = _logistic(x, y, weight * len(y) / weight.sum())
