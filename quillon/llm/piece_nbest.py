@@ -23,20 +23,25 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the smallest score of a piece
-_CACHED, _CACHED_CHARS = 1 << 17, 64
+_CACHED, _CACHED_CHARS = 1 << 16, 64
 _OUT = 4 << 20
-#: A word: its segmentations, best first, as (score, ids).
-Best = list[tuple[float, np.ndarray]]
+_DECODED = 1 << 18
+#: A word: its best score, what its second segmentation loses (infinite without one), the ids of the best, and its
+#: segmentations, best first, as (score, ids); ids are the bytes of 32-bit integers.
+Best = tuple[tuple[float, bytes], ...]
+Word = tuple[float, float, bytes, Best]
 _models: dict[tuple[str, int], "Segmenter"] = {}
 
 
@@ -55,54 +60,74 @@ class Segmenter:
         self.pieces = {names[i]: (i, processor.get_score(i)) for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece crosses into a space mark")
-        self.longest = max(map(len, self.pieces), default=1)
+        # Every beginning of a piece; an empty value where it is no piece itself.
+        self.starts: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = processor.unk_id()
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if processor.is_byte(i)}
         self.text_of = [b"" if processor.is_control(i) else bytes([int(names[i][3:5], 16)]) if processor.is_byte(i) else names[i].encode() for i in range(size)]
-        self._new: dict[str, Best] = {}
-        self._old: dict[str, Best] = {}
+        self._new: dict[str, Word] = {}
+        self._old: dict[str, Word] = {}
+        # For decoding many ids at once: every id's text with spaces for space marks, one after another.
+        shown = [t.replace(SPACE.encode(), b" ") for t in self.text_of]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(t) for t in shown], np.int64)
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
+        self.spaced = np.array([t.startswith(b" ") for t in shown])
+        self.odd = np.array([processor.is_byte(i) or processor.is_control(i) for i in range(size)])
 
     def _edges(self, word: str) -> list[list[tuple[int, float, int | None]]]:
         """For every place, (start, score, id) of the edges that end there; id None for an unknown character."""
-        pieces, out = self.pieces, [[]]
-        for stop in range(1, len(word) + 1):
-            here = []
-            for start in range(stop - 1, max(stop - self.longest, 0) - 1, -1):
-                found = pieces.get(word[start:stop])
+        get, unknown, n = self.starts.get, self.unknown, len(word)
+        out: list[list[tuple[int, float, int | None]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            stop = start + 1
+            found = get(word[start:stop], ())
+            if not found:
+                out[stop].append((start, unknown, None))
+            while found is not None:  # as long as a piece begins so
                 if found:
-                    here.append((start, found[1], found[0]))
-                elif start == stop - 1:
-                    here.append((start, self.unknown, None))
-            out.append(here)
+                    out[stop].append((start, found[1], found[0]))
+                if stop == n:
+                    break
+                stop += 1
+                found = get(word[start:stop])
         return out
 
     def search(self, word: str) -> Best:
         """The n best segmentations of the whole lattice of word."""
-        edges = self._edges(word)
-        ahead = [0.0]
-        for here in edges[1:]:
-            ahead.append(max([ahead[start] + score for start, score, _ in here]))
-        # Ascending: (minus the best whole score through the path, number, place, score of the path, the path as links)
+        ahead, edges = [0.0], []
+        for here in self._edges(word):
+            if here:  # (Viterbi score through the edge, start, score, id), best first
+                through = [(ahead[start] + score, start, score, piece) for start, score, piece in here]
+                if len(through) > 1:
+                    through.sort(key=_by_score)
+                ahead.append(through[0][0])
+                here = through
+            edges.append(here)
+        # Ascending: (minus the best whole score through the path, number, place, score of the path, the path as links).
+        # A path's best edge leaves that score as it is, so it is followed at once and only the others are put off.
         open_paths: list[tuple] = [(-ahead[-1], 0, len(word), 0.0, None)]
-        number, out, wanted = 0, [], self.n
-        while open_paths and wanted:
+        number, out, room = 0, [], self.n - 1
+        while open_paths and room >= 0:
             _, _, place, behind, path = open_paths.pop(0)
-            if place == 0:
-                out.append((behind, self._ids(word, path)))
-                wanted -= 1
-                continue
-            for start, score, piece in edges[place]:
-                cost = -(ahead[start] + score + behind)
-                if len(open_paths) >= wanted:
-                    if cost >= open_paths[wanted - 1][0]:
-                        continue
-                    del open_paths[wanted - 1 :]
-                number += 1
-                insort(open_paths, (cost, number, start, score + behind, (start, place, piece, path)))
-        return out
-
-    def _ids(self, word: str, path: tuple | None) -> np.ndarray:
+            while place:
+                here = edges[place]
+                for through, start, score, piece in here[1:] if room else ():
+                    cost = -(through + behind)
+                    if len(open_paths) >= room:
+                        if cost >= open_paths[room - 1][0]:
+                            break  # the edges that follow are no better
+                        del open_paths[room - 1 :]
+                    number += 1
+                    insort(open_paths, (cost, number, start, score + behind, (start, place, piece, path)))
+                _, start, score, piece = here[0]
+                path, behind, place = (start, place, piece, path), score + behind, start
+            out.append((behind, self._ids(word, path)))
+            room -= 1
+        return tuple(out)
+
+    def _ids(self, word: str, path: tuple | None) -> bytes:
         ids: list[int] = []
         while path is not None:
             start, stop, piece, path = path
@@ -112,11 +137,14 @@ class Segmenter:
                 ids.extend(self.bytes[b] for b in word[start:stop].encode())
             else:
                 ids.append(self.unknown_id)
-        return np.array(ids, np.int32)
+        return array("i", ids).tobytes()
 
-    def _word(self, word: str) -> Best:
+    def _word(self, word: str) -> Word:
         """From the words seen of late, else searched."""
-        found = self._old.get(word) or self.search(word)
+        found = self._old.get(word)
+        if found is None:
+            best = self.search(word)
+            found = (best[0][0], best[0][0] - best[1][0] if len(best) > 1 else float("inf"), best[0][1], best)
         if len(word) <= _CACHED_CHARS:
             if len(self._new) >= _CACHED:
                 self._old, self._new = self._new, {}
@@ -128,22 +156,24 @@ class Segmenter:
         if not text:
             return [(0.0, np.zeros(0, np.int32))]
         words = [self._new.get(word) or self._word(word) for word in _WORD.findall(self.processor.normalize(text))]
-        best = [w[0][1] for w in words]
-        top = sum(w[0][0] for w in words)
-        losses = [(w[0][0] - w[1][0], k) for k, w in enumerate(words) if len(w) > 1] if self.n > 1 else []
-        out = [(top, np.concatenate(best) if best else np.zeros(0, np.int32))]
-        for loss, taken in self._combine(heapq.nsmallest(self.n - 1, losses), words):
-            parts = best.copy()
-            for k, r in taken:
-                parts[k] = words[k][r][1]
-            out.append((top - loss, np.concatenate(parts)))
+        best = [w[2] for w in words]
+        top = sum([w[0] for w in words])
+        out = [(top, _joined(best))]
+        if self.n > 1 and words:
+            losses = np.array([w[1] for w in words])
+            least = [k for k in np.argsort(losses, kind="stable")[: self.n - 1].tolist() if np.isfinite(losses[k])]
+            for loss, taken in self._combine(least, words):
+                parts = best.copy()
+                for k, r in taken:
+                    parts[k] = words[k][3][r][1]
+                out.append((top - loss, _joined(parts)))
         return out
 
-    def _combine(self, cheapest: list[tuple[float, int]], words: list[Best]) -> list[tuple[float, list[tuple[int, int]]]]:
+    def _combine(self, cheapest: list[int], words: list[Word]) -> list[tuple[float, list[tuple[int, int]]]]:
         """The n - 1 smallest losses but none, of choices of a segmentation for some of the words: (loss, [(word, rank)])."""
         sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, k in cheapest:
-            own = words[k]
+        for k in cheapest:
+            own = words[k][3]
             sums = heapq.nsmallest(self.n, ((loss + own[0][0] - own[r][0], taken + (((k, r),) if r else ())) for loss, taken in sums for r in range(len(own))))
         return [(loss, list(taken)) for loss, taken in sums if taken]
 
@@ -154,6 +184,34 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of many segmentations; the k-th has the ids bounds[k] to bounds[k + 1]."""
+        size, at, n = self.shown_size[ids], self.shown_at[ids], len(bounds) - 1
+        some = np.flatnonzero(np.diff(bounds) > 0)
+        first = bounds[some]
+        first = first[self.spaced[ids[first]]]
+        size[first] -= 1
+        at[first] += 1
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.shown[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
+        out = pa.StringArray.from_buffers(n, pa.py_buffer(ends[bounds].astype(np.int32)), pa.py_buffer(data))
+        odd = np.concatenate([[0], np.cumsum(self.odd[ids])])[bounds]
+        odd = np.flatnonzero(np.diff(odd))
+        if not len(odd):
+            return out
+        texts = {k: self.decode(ids[bounds[k] : bounds[k + 1]]) for k in odd.tolist()}
+        view = np.frombuffer(data, np.uint8)
+        return pa.array([texts[k] if k in texts else view[ends[bounds[k]] : ends[bounds[k + 1]]].tobytes().decode() for k in range(n)], pa.string())
+
+
+def _by_score(edge: tuple) -> float:
+    return -edge[0]
+
+
+def _joined(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.int32)
+
+
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -202,8 +260,18 @@ def decode_ids(encoded: DataFrame, model_file: str, ids_column: str = "ids", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(model_file, 1)
         for batch in batches:
-            texts = [None if x is None else own.decode(np.array(x, np.int32)) for x in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_column])
+            lists = batch.column(len(kept))
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at, ends = 0, np.cumsum(lengths)
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _DECODED, "right")))
+                part = lists.slice(at, stop - at)
+                bounds = np.concatenate([[0], np.cumsum(lengths[at:stop])])
+                texts = own.decode_many(part.flatten().to_numpy(zero_copy_only=False), bounds)
+                if part.null_count:
+                    texts = pc.if_else(part.is_valid(), texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*[c.slice(at, stop - at) for c in batch.columns[:-1]], texts], names=[*kept, text_column])
+                at = stop
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
     return encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids_column)).mapInArrow(run, f"{schema}, `{text_column}` string")
