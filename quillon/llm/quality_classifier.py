@@ -9,13 +9,13 @@ curve, and the score of a document joins the views' calibrated log-odds, less th
 
 The fit runs on the driver over a bounded sample: at most ``MOST_LABELLED`` labelled documents, those with the smallest
 hashes of their ids, and ``2 * grow`` pseudo-labelled ones a view and round.  The search for these covers all unlabelled
-documents: a task keeps its own ``grow`` surest of each label and view, and only their features travel.  Tasks get tables of
-weights of fixed size.  The final scores are one pass without a shuffle.
+documents: each gets its odds in both views, which are written without texts, and only the chosen ones' features travel.
+Tasks get tables of weights of fixed size.  The final scores are one pass without a shuffle.
 
 Defined results: a null text counts as empty and null metadata as a value of its own, and both are scored like any other; documents
 labelled by null or anything but 0 and 1 are unlabelled; with no labelled rows, or one label only, every score is that
-label's share (0.5 without any); repeated rows are scored each for itself; ties among sure documents go to the smaller
-hash of the id; an empty table gives no rows; other columns are ignored, whatever their names.
+label's share (0.5 without any); repeated rows are scored each for itself and count once as pseudo-labels; ties among sure documents go to the smaller
+hash of the row; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import written
 from quillon.llm.words import mix, text_buffers, words_by_text
 
 MOST_LABELLED, GROW, ROUNDS = 8000, 100, 3
@@ -153,38 +154,41 @@ def _views(batch: pa.RecordBatch) -> Iterator[tuple[Sparse, Sparse]]:
     return zip(text_features(batch.column(1)), metadata_features([c.to_pylist() for c in batch.columns[2:]]), strict=True)
 
 
-def _surest(docs: DataFrame, model: Model, grow: int) -> list:
-    """view, label, odds, and both views' features, of the grow surest documents of each view and label."""
+def _surest(docs: DataFrame, known: DataFrame, model: Model, grow: int) -> list[tuple[int, int, Sparse, Sparse]]:
+    """view, label and both views' features of the grow surest documents of each view and label, among those whose id
+    known doesn't have.  Every document's odds go to a table without its text; features are made again for the chosen rows alone."""
+    if grow < 1:
+        return []
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema["id"].dataType.simpleString()
+    columns = [c for c in docs.columns if c != "mark"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def odds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
-        best: dict[tuple[int, int], list] = {(view, label): [] for view in (0, 1) for label in (0, 1)}
         for batch in batches:
-            marks = batch.column(batch.num_columns - 1).to_pylist()
-            for mark, (t, m) in zip(marks, _views(batch.slice(0).select(batch.schema.names[:-1])), strict=True):
-                for view, odds in enumerate((held.text.calibrated(t), held.metadata.calibrated(m))):
-                    for label in (0, 1):
-                        own = best[view, label]
-                        own.append((-odds if label else odds, mark, t, m))
-                        if len(own) >= 4 * grow + 64:
-                            own.sort(key=lambda r: r[:2])
-                            del own[grow:]
-        rows = [(view, label, *r) for (view, label), own in best.items() for r in sorted(own, key=lambda r: r[:2])[:grow]]
-        lists = lambda k, part, kind: pa.array([r[k][part] for r in rows], pa.list_(kind))
-        columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()),
-                   lists(4, 0, pa.int32()), lists(4, 1, pa.float32()), lists(5, 0, pa.int32()), lists(5, 1, pa.float32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["view", "label", "cost", "mark", "tp", "tv", "mp", "mv"])
-
-    found = docs.mapInArrow(run, "view int, label int, cost double, mark bigint, tp array<int>, tv array<float>, mp array<int>, mv array<float>")
-    tops = [found.where((F.col("view") == v) & (F.col("label") == y)).orderBy("cost", "mark").limit(grow) for v in (0, 1) for y in (0, 1)]
-    if grow < 1:
+            own = np.array([(held.text.calibrated(t), held.metadata.calibrated(m)) for t, m in _views(batch.select(columns))]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(own[:, 0]), pa.array(own[:, 1])], names=["id", "mark", "odds0", "odds1"])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(_views(batch.select(columns)))
+            lists = lambda view, part, kind: pa.array([r[view][part] for r in rows], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), lists(0, 0, pa.int32()), lists(0, 1, pa.float32()), lists(1, 0, pa.int32()), lists(1, 1, pa.float32())], names=["mark", "tp", "tv", "mp", "mv"])
+
+    every = docs.mapInArrow(odds, f"id {kind}, mark bigint, odds0 double, odds1 double").join(known.select("id"), "id", "left_anti")
+    every = written(every.groupBy("mark").agg(F.first("odds0").alias("odds0"), F.first("odds1").alias("odds1")), "odds")
+    sure: list[tuple[int, int, int]] = []
+    for view in (0, 1):
+        for label in (0, 1):
+            cost = -F.col(f"odds{view}") if label else F.col(f"odds{view}")
+            top = every.select("mark", cost.alias("cost")).orderBy("cost", "mark").limit(grow).collect()
+            sure += [(view, label, r.mark) for r in top if r.cost < 0]
+    if not sure:
         return []
-    found.persist()
-    try:
-        return [r for top in tops for r in top.collect()]  # 4 * grow rows
-    finally:
-        found.unpersist()
+    chosen = docs.sparkSession.createDataFrame([(m,) for m in {m for _, _, m in sure}], "mark bigint")  # 4 * grow rows at most
+    made = docs.join(F.broadcast(chosen), "mark").select(*docs.columns).mapInArrow(features, "mark bigint, tp array<int>, tv array<float>, mp array<int>, mv array<float>")
+    found = {r.mark: ((np.array(r.tp, np.int32), np.array(r.tv, np.float32)), (np.array(r.mp, np.int32), np.array(r.mv, np.float32))) for r in made.dropDuplicates(["mark"]).collect()}
+    return [(view, label, *found[m]) for view, label, m in sure]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ("source", "lang", "n_chars"), label_column: str = "quality", most_labelled: int = MOST_LABELLED, grow: int = GROW, rounds: int = ROUNDS) -> Model:
@@ -211,16 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         return Model(text, meta, float(np.log(y[held].sum() / (len(held) - y[held].sum()))))
 
     model = fitted()
-    unlabelled = plain.join(known.select("id"), "id", "left_anti").withColumn("mark", F.xxhash64("id"))
+    marked = plain.withColumn("mark", F.xxhash64(*plain.columns))
     for _ in range(rounds):
-        sure = [r for r in _surest(unlabelled, model, grow) if (model.text, model.metadata)[r.view].slope > 0 and r.cost < 0]
+        sure = [r for r in _surest(marked, known, model, grow) if (model.text, model.metadata)[r[0]].slope > 0]
         if not sure:
             break
-        for r in sure:  # what one view is sure of teaches the other
-            other = 1 - r.view
-            x = (np.array(r.mp, np.int32), np.array(r.mv, np.float32)) if other else (np.array(r.tp, np.int32), np.array(r.tv, np.float32))
-            pools[other][0].append(x)
-            pools[other][1].append(float(r.label))
+        for view, label, *x in sure:  # what one view is sure of teaches the other
+            pools[1 - view][0].append(x[1 - view])
+            pools[1 - view][1].append(float(label))
         model = fitted()
     return model
 
