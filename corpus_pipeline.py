@@ -28,8 +28,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later places of repeated runs of lines go."""
-    return _with_texts(docs, line_dedup.dedup_lines(docs))
+    """Later places of every repeated line that holds a word go, and documents of which nothing else is left."""
+    cleaned = line_dedup.dedup_lines(docs, window=1)
+    emptied = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _with_texts(docs, cleaned.where(~F.coalesce(emptied, F.lit(False))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

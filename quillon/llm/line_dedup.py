@@ -2,7 +2,8 @@
 
 A document is the sequence of its lines that hold a word.  Every window of ``window`` such lines selects the line
 with the smallest hash, the rightmost of equals, as its fingerprint; equal windows select alike, so a run of
-``window`` lines or more that two places share always shares a fingerprint.  Fingerprints found once in the corpus
+``window`` lines or more that two places share always shares a fingerprint.  With a window of 1 every line is its own
+fingerprint, and every later place of a line that holds a word goes.  Fingerprints found once in the corpus
 are put aside.  From the others a match is extended, line by line to the left and to the right, over all windows
 that hold the fingerprint: two places match as long as their windows agree.  Of every repeated run the first place,
 by id and line, stays, and the lines of later ones are deleted with their line ends.
@@ -36,24 +37,27 @@ def _places(docs: DataFrame, window: int, id_column: str, text_column: str) -> D
     out = out.withColumn("w", F.expr(f"array({inside})"))
     hashes = ", ".join(f"w[{k}].h" for k in range(window))
     others = ", ".join(f"w[{k}].g" for k in range(window))
+    lowest = f"least({hashes})" if window > 1 else hashes
     return out.select(
         "key",
         F.expr("w[0].i").alias("first"),
         F.expr("transform(w, x -> x.i)").alias("lines"),
-        F.expr(f"least({hashes})").alias("mark"),
+        F.expr(lowest).alias("mark"),
         F.expr(f"xxhash64({hashes})").alias("h1"),
         F.expr(f"xxhash64({others})").alias("h2"),
-        F.expr(f"p + {window - 1} - (array_position(reverse(array({hashes})), least({hashes})) - 1)").alias("at"),
+        F.expr(f"p + {window - 1} - (array_position(reverse(array({hashes})), {lowest}) - 1)").alias("at"),
     )
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """key and removed, the ascending numbers (from 0) of the lines to delete, of documents that have such lines."""
     places = _places(docs, window, id_column, text_column)
-    # Fingerprints at two places or more.  Windows that overlap select one place again; it counts once.
-    marks = places.groupBy("mark").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b"), F.count("*").alias("n"))
-    shared = marks.where((F.col("a") != F.col("b")) | (F.col("n") > window)).select("mark")
-    near = places.join(shared, "mark", "left_semi")
+    near = places
+    if window > 1:  # a window of one line is its own fingerprint
+        # Fingerprints at two places or more.  Windows that overlap select one place again; it counts once.
+        marks = places.groupBy("mark").agg(F.min(F.struct("key", "at")).alias("a"), F.max(F.struct("key", "at")).alias("b"), F.count("*").alias("n"))
+        shared = marks.where((F.col("a") != F.col("b")) | (F.col("n") > window)).select("mark")
+        near = places.join(shared, "mark", "left_semi")
     # Extension: the windows that hold a shared fingerprint, compared by their whole hashes.
     first = near.groupBy("h1", "h2").agg(F.min(F.struct("key", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = near.join(first, ["h1", "h2"]).where(F.struct("key", "first") != F.col("origin"))
