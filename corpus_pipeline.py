@@ -42,8 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go."""
-    return _with_texts(docs, unit_dedup.dedup_passages(docs))
+    """Every later occurrence of a repeated sentence or run of sentences, lists of short items included, goes; only
+    runs under five words together stay, which can be parts of numbers, addresses and abbreviations."""
+    return _with_texts(docs, unit_dedup.dedup_passages(docs, min_words=1, min_passage=5))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ that follows.  A unit is normalised (lower case, all but letters and digits to s
 has ``min_words`` words.  Digests of units are grouped over the whole corpus; the earliest occurrence by (id, place)
 is the origin and every other one is a repeat.  Repeats that follow one another in a document, with no counted
 unit between them, make a passage, which is cut out if its units have ``min_passage`` words together.  So short
-lines that many documents share stay, and a passage that was put into a paragraph is found as well as one on lines of
-its own.  Spans of what was removed keep their offsets, in characters of the original text.
+lines that many documents share stay under the defaults, and a passage that was put into a paragraph is found as well as
+one on lines of its own.  With ``min_words`` 1 every unit with a word counts, so that lists of short items are found too.  Spans of what was removed keep their offsets, in characters of the original text.
 
 The origin of a digest is a grouped minimum, combined before the shuffle; repeats find it by a join that can be split
 where a unit is common.

@@ -16,3 +16,12 @@ def test_single_repeated_lines_go(spark):
     texts = [(1, "one line\nshared line\nthe end"), (2, "shared line"), (3, "own line\n\nshared line\nlast"), (4, "own pair\none line\nthe end\nown again\nown again"), (5, ""), (6, None)]
     wanted = [(1, texts[0][1]), (3, "own line\n\nlast"), (4, "own pair\nown again"), (5, ""), (6, None)]
     assert staged(spark, corpus_pipeline.lines, texts) == sorted(wanted, key=repr)
+
+
+def test_repeated_sentences_and_lists_go(spark):
+    menu = "Tea.\nRed soup.\nBread.\nCold milk.\n"
+    first = f"Only here one. A sentence of six words here. {menu}See www.example.org now."
+    texts = [(1, first), (2, "Second opening words. A sentence of six words here. Second end."), (3, f"Third opening words.\n{menu}Read www.example.net too.")]
+    wanted = [(1, first), (2, "Second opening words. Second end."), (3, "Third opening words.\nRead www.example.net too.")]
+    got = staged(spark, corpus_pipeline.passages, texts)
+    assert [(k, t.replace("  ", " ")) for k, t in got] == wanted
