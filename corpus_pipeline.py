@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon.llm import line_dedup, near_dedup, packing, quality_rules, unit_dedup
 from quillon.llm.queries import table, tokenizer_path
@@ -34,11 +35,36 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_texts(docs, cleaned.where(~F.coalesce(emptied, F.lit(False))))
 
 
+def _keyed(docs: DataFrame, odd: DataFrame) -> DataFrame:
+    """docs with __key and __odd.  The key is the id, or a hash of the text, placed after all usual ids, where the id is null or
+    another text of the same id has it; odd rows are those whose key other rows may share."""
+    text = F.xxhash64("text")
+    if isinstance(docs.schema["doc_id"].dataType, StringType):
+        own = F.concat(F.lit("\U0010ffff"), F.lpad(F.hex(text), 16, "0"))
+    else:
+        own = text.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    nameless = docs.where("doc_id is null").select("*", own.alias("__key"), F.lit(True).alias("__odd"))
+    named = docs.where("doc_id is not null").join(odd.where("doc_id is not null"), "doc_id", "left")
+    named = named.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(F.col("__text").isNull() | (text == F.col("__text")), F.col("doc_id")).otherwise(own).alias("__key"), F.col("__text").isNotNull().alias("__odd"))
+    return written(named.unionByName(nameless), "keyed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id."""
-    found = near_dedup.near_components(docs, size=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near-duplicates (five words, 0.8) stays: the one with the smallest id, a null one last.
+    Of repeated rows, and of rows without an id that have the same text, the one with the smallest hash of the row stays;
+    rows with the same id and other texts count as documents of their own."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    odd = written(docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("__text"), F.count("*").alias("n")).where("n > 1 or doc_id is null").drop("n"), "odd")
+    if odd.isEmpty():
+        found = near_dedup.near_components(docs, size=5, percent=80)
+        gone = found.where(~F.col("kept")).select(F.col("id").alias("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    keyed = _keyed(docs, odd)
+    found = near_dedup.near_components(keyed, size=5, percent=80, id_column="__key")
+    gone = found.where(~F.col("kept")).select(F.col("id").alias("__key"))
+    left = keyed.join(gone, "__key", "left_anti")
+    one = left.where("__odd").groupBy("__key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return left.where("not __odd").select(*columns).unionByName(one.select("row.*"))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
