@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +103,10 @@ def text_features(texts: pa.Array) -> Iterator[Sparse]:
 
 
 def metadata_features(columns: list[list]) -> Iterator[Sparse]:
-    """A place for each column's value; a number counts by the half power of two that it lies in."""
+    """A place for each column's value, by a digest of column and whole value; a number counts by the half power of two that it lies in."""
     for values in zip(*columns, strict=True):
         marks = [f"{k}={round(2 * np.log2(1 + abs(v))) if isinstance(v, (int, float)) and np.isfinite(v) else v}" for k, v in enumerate(values)]
-        hashes = np.array([int.from_bytes(m.encode()[-8:], "little") ^ (len(m) << 56) for m in marks], np.uint64)
+        hashes = np.array([int.from_bytes(blake2b(m.encode(), digest_size=8).digest(), "little") for m in marks], np.uint64)
         places = np.unique(mix(hashes) % np.uint64(_METADATA - 1)).astype(np.int32) + 1
         yield places, np.ones(len(places), np.float32)
 
