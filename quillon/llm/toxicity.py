@@ -3,7 +3,8 @@
 A token is a run of ASCII letters and non-ASCII bytes; ASCII capitals count as small letters.  Its features are
 the whole token and its first 3 to 7 bytes, hashed into one table of weights.  Token labels come from document labels: a
 feature is toxic if documents that hold it are toxic far more often than chance allows, and a token of a toxic document is
-labelled if one of its features is.  The field is fitted to these labels on stretches of the training documents; its
+labelled if one of its features is.  The field is fitted to these labels on stretches of the training
+documents, which hold every token with a telling feature, ``REACH`` tokens around, and ``CLEAN_STRETCHES`` places of documents without any; its
 forward-backward marginals give each token's chance to be in a toxic span, tokens above one half are the offending
 offsets, and a logistic fit on other training documents turns sums and maxima of marginals into the document's score.
 
@@ -34,7 +35,7 @@ BLOCK = 64
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7)
 MEASURES = 4
-_REACH, _STRETCHES = 16, 6
+REACH, CLEAN_STRETCHES = 16, 3
 
 _BETWEEN = np.ones(256, dtype=bool)
 _BETWEEN[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -215,24 +216,23 @@ def _telling(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return (share > base) & (surprise > 16) & (odds > 5)
 
 
-def _stretches(found: np.ndarray, seed: int) -> list[tuple[int, int]]:
-    """Up to _STRETCHES stretches of a document's tokens: around those with a telling feature, else at places spread by a hash."""
+def _stretches(found: np.ndarray, seed: int, reach: int = REACH, clean_stretches: int = CLEAN_STRETCHES) -> list[tuple[int, int]]:
+    """Stretches of a document's tokens that don't overlap: around all with a telling feature, else at places spread by a hash."""
     n = len(found)
     places = np.flatnonzero(found)
     if not len(places):
-        places = (mix(np.arange(1, 1 + _STRETCHES // 2, dtype=np.uint64) * np.uint64(seed + 1)) % np.uint64(max(n, 1))).astype(np.int64)
+        places = np.unique((mix(np.arange(1, 1 + clean_stretches, dtype=np.uint64) * np.uint64(seed + 1)) % np.uint64(max(n, 1))).astype(np.int64))
     out: list[tuple[int, int]] = []
     for p in places.tolist():
-        if len(out) == _STRETCHES:
-            break
-        if not out or p - _REACH >= out[-1][1]:
-            out.append((max(0, p - _REACH), min(n, p + _REACH + 1)))
+        last = out[-1][1] if out else 0
+        if not out or p >= last:
+            out.append((max(last, p - reach), min(n, p + reach + 1)))
     return [s for s in out if s[1] > s[0]]
 
 
-def _fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def _fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 40, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """weights and chain by maximum likelihood with an L2 penalty; rows: (features, tags) of stretches."""
-    length = 2 * _REACH + 1
+    length = 2 * reach + 1
     n = len(rows)
     features = np.zeros((n, length, 1 + len(PREFIXES)), np.int32)
     tags = np.zeros((n, length), np.int8)
@@ -288,7 +288,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0, 1.0), reach: int = REACH, clean_stretches: int = CLEAN_STRETCHES) -> Model:
     """texts and their labels (0 or 1).  shares: which part of the clean and of the toxic labelled documents the sample has.
     Of copies, exact or near, one is used: those that share their smallest hash of five words."""
     empty = Model(np.zeros(BUCKETS, np.float32), np.zeros((2, 2)), np.zeros(1 + MEASURES), None)
@@ -316,8 +316,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0,
     for k in training:
         found = telling[features[k]].any(1)  # in clean documents the field learns which of them to pass over
         tags = found & bool(toxic[k])
-        rows += [(features[k][a:b], tags[a:b]) for a, b in _stretches(found, k)]
-    weights, chain = _fit_chain(rows)
+        rows += [(features[k][a:b], tags[a:b]) for a, b in _stretches(found, k, reach, clean_stretches)]
+    weights, chain = _fit_chain(rows, reach=reach)
     model = Model(weights, chain, np.zeros(1 + MEASURES))
     x = np.vstack([_measures(marginals(_evidence(model, features[k]), np.array([0, len(features[k])]), chain), np.array([0, len(features[k])])) for k in checking])
     y = toxic[checking]
@@ -332,8 +332,9 @@ def fit(texts: pa.Array, toxic: np.ndarray, shares: tuple[float, float] = (1.0,
 # --- on tables ---------------------------------------------------------------------------------------------------
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
-    """Fits on the labelled documents among docs."""
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, reach: int = REACH, clean_stretches: int = CLEAN_STRETCHES) -> Model:
+    """Fits on the labelled documents among docs.  The field sees every telling token with reach tokens on either side, and
+    clean_stretches such places of a document that has none."""
     wanted = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     counts = {r.y: r.n for r in wanted.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("id", F.lit(1)), F.col("id")]
@@ -343,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     text = rows["text"].combine_chunks()
     text = text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks)
     shares = tuple(min(1.0, most / max(counts.get(y, 0), 1)) for y, most in ((0, most_clean), (1, most_toxic)))
-    return fit(text, rows["y"].to_numpy().astype(int), shares)
+    return fit(text, rows["y"].to_numpy().astype(int), shares, reach, clean_stretches)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
