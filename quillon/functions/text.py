@@ -1,4 +1,4 @@
-"""Normalisers of strings."""
+"""Normalisers of strings."""
 
 from __future__ import annotations
 

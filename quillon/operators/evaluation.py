@@ -1,4 +1,4 @@
-"""Aggregations over evaluations and event logs."""
+"""Aggregations over evaluations and event logs."""
 
 from __future__ import annotations
 
@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fixed_denominator(expected: DataFrame, rows: DataFrame, key: str, success: Column, value: Column) -> DataFrame:
-    """A1: one row; rates over all expected keys, means over those that have a row."""
-    found = rows.groupBy(key).agg(F.max(success.cast("int")).alias("ok"), F.sum(value).alias("v"))
+def fixed_denominator(expected: DataFrame, rows: DataFrame, key: str, success: Column, value: Column, order: list[str] | None = None) -> DataFrame:
+    """A1: one row; rates over all expected keys, means over those that have a row.  Of a key's rows the last by order counts;
+    without an order, any success and the sum of the values."""
+    if order:
+        last = F.max(F.struct(F.struct(*order), success.cast("int").alias("ok"), value.alias("v")))
+        found = rows.groupBy(key).agg(last.alias("last")).select(key, "last.ok", "last.v")
+    else:
+        found = rows.groupBy(key).agg(F.max(success.cast("int")).alias("ok"), F.sum(value).alias("v"))
     return expected.join(found, key, "left").agg(
         F.count("*").alias("n_expected"), F.count("ok").alias("n_completed"), F.coalesce(F.sum("ok"), F.lit(0)).alias("n_success"),
         (F.coalesce(F.sum("ok"), F.lit(0)) / F.count("*")).alias("success_rate"), F.avg("v").alias("mean_value"),
@@ -23,10 +28,12 @@ def repeats(events: DataFrame, part: str, order: list[str], signature: str) -> D
 
 
 def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Nearest-rank p50 and p95, interpolated median, population deviation, extremes."""
+    """Nearest-rank p50, p90, p95 and p99, interpolated median, mean, population deviation, extremes."""
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
     return df.groupBy(*keys).agg(
         F.min(value).alias("least"), F.max(value).alias("most"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})").alias("p50"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"),
+        rank(0.5).alias("p50"), rank(0.9).alias("p90"), rank(0.95).alias("p95"), rank(0.99).alias("p99"),
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
         F.percentile(value, 0.5).alias("median"),
     )
 
@@ -45,6 +52,14 @@ def agreement(df: DataFrame, tasks: DataFrame, key: str, run: str, success: Colu
     return tasks.select(key).distinct().join(solved, key, "left").select(F.coalesce("k", F.lit(0)).alias("k")).groupBy("k").agg(F.count("*").alias("n_tasks"))
 
 
+def unanimous(df: DataFrame, tasks: DataFrame, key: str, run: str, success: Column) -> DataFrame:
+    """The tasks that no run solved (succeeded false) and those that every run of df solved (true)."""
+    solved = df.where(success).groupBy(key).agg(F.count_distinct(F.col(run)).alias("k"))
+    runs = df.agg(F.count_distinct(F.col(run)).alias("n"))  # one row
+    counted = tasks.select(key).distinct().join(solved, key, "left").crossJoin(F.broadcast(runs))
+    return counted.where("k is null or k = n").select(key, F.col("k").isNotNull().alias("succeeded"))
+
+
 def transitions(events: DataFrame, part: str, order: list[str], state: str) -> DataFrame:
     """Counts of a state and the one that follows it."""
     after = F.lead(state).over(Window.partitionBy(part).orderBy(*order))
