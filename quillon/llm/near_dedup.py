@@ -1,27 +1,32 @@
 """MinHash near-dedup on bottom-k sketches, with exact Jaccard links.
 
 1. A document's set is its distinct word shingles, hashed to 64 bits; its sketch is the ``k`` smallest values of
-   that one hash function.  Equal sets are folded into the smallest id.
+   that one hash function.  Equal sets are folded into one node, with the smallest id of those that have it.
 2. Inverted lists of retained values give overlaps.  Two sets at the threshold share nearly all retained values,
    ``needed`` of them but for a chance below 1e-7, so each set enters the lists of only its rarest values, as many as it takes that
    sets sharing ``needed`` values meet in one (all ``n - needed + 1`` of them); values that no other set retains cost nothing, and
    common values, of a passage that many documents share, are left out unless a set has hardly any others.
 3. In each list every member is compared with one leader; pairs whose union-sketch estimate passes ``loose`` are
-   candidate links.  Lists that these links don't make one component are compared in full across components, cut into cells
-   of two chunks of at most ``chunk`` members, so no task holds a whole list and no pair becomes a row unless it passes.
-4. Exact Jaccard verifies within each candidate component, on sets made again from whole texts: chunk by chunk with the most central
-   members beside each chunk, then, where a component of several chunks still falls apart, members outside its largest
-   part against all chunks.  Union-find inside a cell leaves out pairs already joined; a cell emits a spanning
-   forest of its links.  Components of the exact links are the result.
-
-Defined results: a null or wordless text has an empty set, is linked with nothing and kept; a text of fewer words than
-the shingle has one shingle, the whole sequence; rows that share an id are one document, linked by any of their sets;
-a row with a null id takes no part and is kept; an empty table gives an empty result.  Other columns are ignored or carried along.
+   candidate links.  Lists that these links don't make one component are compared in full across components.
+4. Exact Jaccard verifies within each candidate component, on sets made again from whole texts.  A component is cut into blocks;
+   every block is compared in itself and with a few central members.  Where a component of several blocks still falls
+   apart, the members outside its largest part are compared with all blocks.
+   Components of the exact links are the result.
+
+Groups compared in full are cut into blocks of bounded size by a hash.  A block is one row, with its members' sets in an array, and a
+cell is a row for two blocks, so that the rows of a join grow with blocks, not with members, and a task holds two
+blocks whatever the size of a group.  Inside a cell the overlaps of all pairs come from products of indicator matrices
+(for values that many members share) and from counted pairs (for the others), and only a spanning forest of the links leaves it.
+
+Defined results: a null or wordless text has an empty set and is linked with nothing; a text of fewer words than
+the shingle has one shingle, the whole sequence; rows that share an id are one document, linked by any of their sets, and
+get one verdict; a row with a null id takes no part and is kept; an empty table gives an empty result.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import written
+from quillon.llm.shared import Scratch, written
 from quillon.llm.words import mix, shingles, words_by_text
 
 K = 64
 NEEDED = 36
-CHUNK = 96
+#: Members of a block of sketches, and hashes and members of a block of whole sets.
+SKETCHES = 1024
+HASHES, SETS = 1 << 18, 512
 LEADERS = 4
+#: A value that so many pairs of a cell share is counted by a matrix product, others pair by pair.
+_DENSE, _WIDTH = 32, 1024
 
 
 def _shingle_sets(texts: pa.Array, size: int, lower: bool) -> Iterator[np.ndarray]:
@@ -44,27 +53,59 @@ def _shingle_sets(texts: pa.Array, size: int, lower: bool) -> Iterator[np.ndarra
         yield np.sort(shingles(words, size).view(np.int64))
 
 
+def _set_hashes(values: np.ndarray) -> tuple[int, int]:
+    own = values.view(np.uint64)
+    if not len(own):
+        return 0, 0
+    return int(mix(own).sum(dtype=np.uint64).view(np.int64)), int(mix(mix(own + np.uint64(1))).sum(dtype=np.uint64).view(np.int64))
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
+
+
 def signatures(docs: DataFrame, size: int, k: int, lower: bool, id_column: str, text_column: str) -> DataFrame:
-    """id, n (size of the set), s1 and s2 (a hash of the set), sketch (its k smallest values, ascending)."""
+    """id, mark (a hash of the text), n (size of the set), s1 and s2 (a hash of the set), sketch (its k smallest values, ascending)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, kept = [], [], [], []
-            for values in _shingle_sets(batch.column(1), size, lower):
+            for values in _shingle_sets(batch.column(2), size, lower):
+                a, b = _set_hashes(values)
                 n.append(len(values))
-                own = values.view(np.uint64)
-                s1.append(int(mix(own).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                s2.append(int(mix(mix(own + np.uint64(1))).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+                s1.append(a)
+                s2.append(b)
                 kept.append(values[:k].copy())
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int32)
-            values = np.concatenate(kept) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["id", "n", "s1", "s2", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(kept)],
+                names=["id", "mark", "n", "s1", "s2", "sketch"],
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(sign, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+    text = F.col(text_column)
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(sign, f"id {kind}, mark bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>")
+
+
+def _whole_sets(texts: DataFrame, size: int, lower: bool) -> DataFrame:
+    """s1, s2 and set (all shingle hashes) of texts (column text)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held = [], 0
+            for values in _shingle_sets(batch.column(0), size, lower):
+                found.append(values)
+                held += len(values)
+                if held > 1 << 20:
+                    yield out(found)
+                    found, held = [], 0
+            yield out(found)
+
+    def out(found: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.array([_set_hashes(v) for v in found], np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), _lists(found)], names=["s1", "s2", "set"])
+
+    return texts.select("text").mapInArrow(make, "s1 bigint, s2 bigint, set array<bigint>")
 
 
 def estimate(a: Column, b: Column, k: int) -> Column:
@@ -74,166 +115,263 @@ def estimate(a: Column, b: Column, k: int) -> Column:
 
 
 def rare_lists(reps: DataFrame, needed: int, threshold: float) -> DataFrame:
-    """v, id, weight: the lists that each set enters.  weight: how common its values are, the higher the more central."""
-    values = reps.select("id", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
+    """v, node, weight: the lists that each set enters.  weight: how common its values are, the higher the more central."""
+    values = reps.select("node", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("freq")).where("freq > 1")
-    common = values.join(shared, "v").groupBy("id", "kept").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("common"), F.sum("freq").alias("weight"))
+    common = values.join(shared, "v").groupBy("node", "kept").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("common"), F.sum("freq").alias("weight"))
     least = F.least(F.lit(needed), F.ceil(F.col("kept") * F.lit(threshold)))
     take = F.size("common") - least.cast("int") + 1  # of the rarest kept - least + 1, those that are shared
-    return common.where(take > 0).select("id", "weight", F.explode(F.slice("common", 1, take)).alias("c")).select(F.col("c.v").alias("v"), "id", "weight")
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _forest(sets: list[np.ndarray], part: list, side: list[int], similar, same_side: bool) -> Iterator[tuple[int, int]]:
-    """Links between members of other parts, and, unless same_side, of other sides; each joins what no earlier one has."""
-    union = _Union(len(sets))
-    seen: dict = {}
-    for x, p in enumerate(part):
-        if p is not None:
-            union.join(seen.setdefault(p, x), x)
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    for a, x in enumerate(order):
-        for y in order[a + 1 :]:
-            if (same_side or side[x] != side[y]) and union.find(x) != union.find(y) and similar(sets[x], sets[y]) and union.join(int(x), int(y)):
-                yield int(x), int(y)
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> int:
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
-def _chunked(members: DataFrame, group: str, chunk: int) -> DataFrame:
-    """members with chunks (how many the group has) and c (the member's)."""
-    sizes = members.groupBy(group).agg(F.count("*").alias("size"))
-    out = members.join(sizes, group).withColumn("chunks", F.ceil(F.col("size") / chunk).cast("int"))
-    return out.withColumn("c", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
-
-
-def _sketch_links(cells: DataFrame, k: int, loose: float, kind: str) -> DataFrame:
-    def close(a: np.ndarray, b: np.ndarray) -> bool:
-        union = np.union1d(a, b)[:k]
-        return _overlap(np.intersect1d(a, b, assume_unique=True), union) >= loose * len(union)
-
-    def link(table: pa.Table) -> pa.Table:
-        sketch = [np.asarray(x.values) for x in table["sketch"]]
-        ids = table["id"].to_pylist()
-        found = list(_forest(sketch, table["label"].to_pylist(), table["c"].to_pylist(), close, table["i"][0].as_py() == table["j"][0].as_py()))
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], table.schema.field("id").type), "b": pa.array([ids[y] for _, y in found], table.schema.field("id").type)})
-
-    return cells.groupBy("v", "i", "j").applyInArrow(link, f"a {kind}, b {kind}")
+    return common.where(take > 0).select("node", "weight", F.explode(F.slice("common", 1, take)).alias("c")).select(F.col("c.v").alias("v"), "node", "weight")
+
+
+# --- inside a cell -------------------------------------------------------------------------------------------------
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b.  The values of a set are distinct."""
+    out = np.zeros((len(a), len(b)), np.int32)
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    if not len(both):
+        return out
+    sides = []
+    for values, sets in ((va, a), (vb, b)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+        held = both[at] == values
+        order = np.argsort(at[held], kind="stable")
+        sides.append((at[held][order], row[held][order]))
+    (ca, ra), (cb, rb) = sides
+    na, nb = np.bincount(ca, minlength=len(both)), np.bincount(cb, minlength=len(both))
+    dense = np.flatnonzero(na * nb > _DENSE)
+    for start in range(0, len(dense), _WIDTH):
+        column = np.full(len(both), -1)
+        column[dense[start : start + _WIDTH]] = np.arange(min(_WIDTH, len(dense) - start))
+        marks = []
+        for c, r, n in ((ca, ra, len(a)), (cb, rb, len(b))):
+            m = np.zeros((n, _WIDTH), np.float32)
+            inside = column[c] >= 0
+            m[r[inside], column[c[inside]]] = 1
+            marks.append(m)
+        out += (marks[0] @ marks[1].T).astype(np.int32)
+    few = na * nb <= _DENSE
+    keep = few[ca]
+    left_c, left_r = ca[keep], ra[keep]
+    first = np.cumsum(nb) - nb
+    times = nb[left_c]
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    right = rb[np.repeat(first[left_c], times) + step]
+    np.add.at(out, (np.repeat(left_r, times), right), 1)
+    return out
+
+
+def _estimates(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
+    """The union-sketch estimate of each pair (a[i], b[i])."""
+    both = np.full((len(a), 2 * k), np.iinfo(np.int64).max)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        both[i, : len(x)] = x
+        both[i, k : k + len(y)] = y
+    size = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)])
+    both.sort(axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = both[:, 1:] == both[:, :-1]
+    twice &= np.arange(2 * k) < size[:, None]
+    rank = np.cumsum(~twice, axis=1)  # a value's place in the union, from 1
+    union = np.minimum(k, size - twice.sum(1))
+    return (twice & (rank <= union[:, None])).sum(1) / np.maximum(union, 1)
+
+
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray, verify: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of a spanning forest of the pairs that are near and, if verify is given, verified.  left and right:
+    numbers of the parts that the members belong to; members of one part need no link."""
+    for i in range(len(near)):
+        open_ = np.flatnonzero(near[i])
+        while len(open_):
+            open_ = open_[right[open_] != left[i]]
+            if not len(open_):
+                break
+            _, first = np.unique(right[open_], return_index=True)
+            tried = open_[first]  # one of each other part
+            good = tried if verify is None else tried[verify(i, tried)]
+            for j in good.tolist():
+                mine, other = left[i], right[j]
+                if mine != other:
+                    left[left == other] = mine
+                    right[right == other] = mine
+                    yield i, j
+            open_ = np.setdiff1d(open_, tried, assume_unique=True)
+
+
+def _cell(a: tuple, b: tuple | None, near: Callable, verify: Callable | None = None) -> Iterator[tuple[int, int]]:
+    """Links (node, node) across the parts of a cell.  a and b: (nodes, labels, sets); b None: within a."""
+    nodes_b, labels_b, sets_b = b or a
+    nodes_a, labels_a, sets_a = a
+    if not len(nodes_a) or not len(nodes_b) or (b is None and len(nodes_a) < 2):
+        return
+    parts = np.unique(np.concatenate([labels_a, labels_b]), return_inverse=True)[1]
+    left, right = parts[: len(nodes_a)].copy(), parts[len(nodes_a) :].copy()
+    if left.min() == left.max() == right.min() == right.max():
+        return
+    size_a, size_b = (np.array([len(s) for s in x]) for x in (sets_a, sets_b))
+    mask = near(overlaps(sets_a, sets_b), size_a[:, None], size_b[None, :])
+    if b is None:
+        mask = np.triu(mask, 1)
+    check = (lambda i, js: verify([sets_a[i]] * len(js), [sets_b[j] for j in js])) if verify else None
+    for i, j in _forest(mask, left, right, check):
+        yield int(nodes_a[i]), int(nodes_b[j])
+
+
+def _members(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(nodes, labels, sets) of a block: an array of struct<node, label, set>."""
+    start, stop = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
+    held = column.values.slice(start, stop - start)
+    sets = held.field("set")
+    values = sets.values.to_numpy()
+    at = sets.offsets.to_numpy()
+    return held.field("node").to_numpy(), held.field("label").to_numpy(), [values[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def _links(cells: DataFrame, near: Callable, verify: Callable | None = None) -> DataFrame:
+    """a and b of links that the cells hold.  cells: left and right, blocks of which the second is null in a cell of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            ones, others = batch.column(0), batch.column(1)
+            for row in range(batch.num_rows):
+                one = _members(ones, row)
+                found += _cell(one, None if not others[row].is_valid else _members(others, row), near, verify)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
+    return cells.select("left", "right").mapInArrow(run, "a bigint, b bigint")
 
-def _exact_links(cells: DataFrame, size: int, lower: bool, percent: int, kind: str) -> DataFrame:
-    def close(a: np.ndarray, b: np.ndarray) -> bool:
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-            return False
-        both = _overlap(a, b)
-        return 100 * both >= percent * (len(a) + len(b) - both)
 
-    def link(table: pa.Table) -> pa.Table:
-        texts = table["text"].combine_chunks()
-        sets = list(_shingle_sets(texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks), size, lower))
-        ids = table["id"].to_pylist()
-        found = list(_forest(sets, table["label"].to_pylist(), table["c"].to_pylist(), close, table["i"][0].as_py() == table["j"][0].as_py()))
-        return pa.table({"a": pa.array([ids[x] for x, _ in found], table.schema.field("id").type), "b": pa.array([ids[y] for _, y in found], table.schema.field("id").type)})
+# --- groups as blocks ----------------------------------------------------------------------------------------------
 
-    return cells.groupBy("comp", "i", "j").applyInArrow(link, f"a {kind}, b {kind}")
+_BLOCK = "array<struct<node:bigint,label:bigint,set:array<bigint>>>"
 
 
-def _grid(members: DataFrame) -> DataFrame:
-    """Each member in the cells of its own chunk with every chunk of its group: i <= j."""
-    out = members.withColumn("x", F.explode(F.expr("sequence(0, chunks - 1)")))
-    return out.withColumn("i", F.least("c", "x")).withColumn("j", F.greatest("c", "x")).drop("x")
+def _block() -> Column:
+    """An aggregate: the members (node, label, set) of a block.  Blocks are of bounded size by their number."""
+    return F.collect_list(F.struct("node", "label", "set")).alias("block")
 
 
-def _most_central(members: DataFrame) -> DataFrame:
-    """comp, chunks, id: the LEADERS most central members of every component, by maxima taken one after another."""
-    out, rest = None, members.select("comp", "chunks", F.struct((-F.col("weight")).alias("w"), "id").alias("rank"))
-    picked = rest.groupBy("comp", "chunks").agg(F.min("rank").alias("r0"))
-    for n in range(1, LEADERS):
-        beyond = rest.join(picked, ["comp", "chunks"]).where(F.col("rank") > F.col(f"r{n - 1}")).groupBy("comp", "chunks").agg(F.min("rank").alias(f"r{n}"))
-        picked = picked.join(beyond, ["comp", "chunks"], "left")
-    out = picked.select("comp", "chunks", F.explode(F.array(*[f"r{n}" for n in range(LEADERS)])).alias("r"))
-    return out.where("r is not null").select("comp", "chunks", F.col("r.id").alias("id"))
+def _alone(blocks: DataFrame) -> DataFrame:
+    return blocks.select(F.col("block").alias("left"), F.lit(None).cast(_BLOCK).alias("right"))
 
 
-def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, needed: int = NEEDED, lower: bool = True, chunk: int = CHUNK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, needed: int = NEEDED, lower: bool = True, sketches: int = SKETCHES, hashes: int = HASHES, sets: int = SETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_shingles, component (smallest id that links reach) and kept (id = component), one row a row of docs."""
     threshold = percent / 100
     needed = round(needed * threshold / 0.85) if percent < 85 else needed
     loose = needed / k
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = docs.schema[id_column].dataType.simpleString()
-    signed = written(signatures(docs, size, k, lower, id_column, text_column), "signed")
-
-    folded = signed.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
-    reps = written(folded, "sets")
-    lists = written(rare_lists(reps, needed, threshold), "lists")
-
+    held = Scratch(docs.sparkSession, "near")
+    signed = held.written(signatures(docs, size, k, lower, id_column, text_column), "signed")
+
+    folded = signed.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "mark")).alias("least"), F.first("sketch").alias("sketch"))
+    reps = held.written(folded.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "least.id", "least.mark", "sketch"), "sets")
+    named = signed.select("id", "n", "s1", "s2").join(reps.select("s1", "s2", "node"), ["s1", "s2"], "left").select("id", "n", "node")
+    named = held.written(named, "named")
+    held.drop("signed")
+    several = named.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
+    one_id = held.written(named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "one_id")
+
+    lists = held.written(rare_lists(reps, needed, threshold), "lists")
+    starred, more, candidates = _candidates(held, reps, lists, k, loose, sketches)
+    first, second = _exact(held, texts, reps, lists, candidates, size, lower, percent, hashes, sets)
+    held.drop("lists")
+
+    final = components(first.unionByName(second).unionByName(one_id), held=held)
+    found = reps.select("node", "id").join(final.select(F.col("v").alias("node"), "label"), "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
+    least = found.groupBy("label").agg(F.min("id").alias("component"))
+    of_node = found.select("node", "label").join(least, "label").select("node", "component")
+    whole = named.join(of_node, "node", "left")
+    if not one_id.isEmpty():  # a row without words may share its id with rows that have some
+        of_id = whole.where("node is not null").groupBy("id").agg(F.min("component").alias("own"))
+        whole = whole.join(of_id, "id", "left").withColumn("component", F.coalesce("component", "own"))
+    out = whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    out = written(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True))), "verdicts")
+    held.close()
+    return out
+
+
+def _candidates(held: Scratch, reps: DataFrame, lists: DataFrame, k: int, loose: float, sketches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidate links by leaders, those of lists compared in full, and the components of both."""
     # One leader a list: the most central member.
-    leaders = lists.groupBy("v").agg(F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("top"), F.count("*").alias("n")).where("n > 1").select("v", F.col("top.id").alias("b"))
-    pairs = lists.join(leaders, "v").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    sketches = reps.select("id", "sketch")
-    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    starred = written(pairs.where(estimate(F.col("sa"), F.col("sb"), k) >= loose).select("a", "b"), "links")
-    labels = components(starred)
+    leaders = lists.groupBy("v").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("v", F.col("top.node").alias("b"))
+    pairs = lists.join(leaders, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sketch_of = reps.select("node", "sketch")
+    pairs = pairs.join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    starred = held.written(pairs.where(estimate(F.col("sa"), F.col("sb"), k) >= loose).select("a", "b"), "starred")
+    labels = components(starred, held=held)
 
     # Lists that are still in several components.
-    known = lists.select("v", "id").join(labels.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    known = written(known, "known")
-    mixed = known.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("v")
-    open_lists = _chunked(known.join(mixed, "v", "left_semi"), "v", chunk)
-    cells = _grid(open_lists).join(sketches, "id")
-    more = written(_sketch_links(cells, k, loose, kind), "links")
-    candidates = components(starred.unionByName(more))
-
-    # Exact links within candidate components.
-    weights = lists.groupBy("id").agg(F.max("weight").alias("weight"))
-    members = candidates.select(F.col("v").alias("id"), F.col("label").alias("comp")).join(weights, "id")
-    members = written(_chunked(members, "comp", chunk), "members")
-    own = members.where("chunks = 1").select("comp", "id", "c", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    known = lists.select("v", "node").join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = held.written(known, "known")
+    mixed = known.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
+    mixed = mixed.select("v", F.ceil(F.col("size") / sketches).cast("int").alias("chunks"))
+    members = known.join(mixed, "v").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    members = members.join(sketch_of.withColumnRenamed("sketch", "set"), "node")
+    blocks = held.written(members.groupBy("v", "chunks", "c").agg(_block()), "list_blocks")
+    large = blocks.where("chunks > 1")
+    across = large.select("v", F.col("c").alias("i"), F.col("block").alias("left")).join(large.select("v", F.col("c").alias("j"), F.col("block").alias("right")), "v").where("i < j")
+    cells = _alone(blocks).unionByName(across.select("left", "right"))
+
+    def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return both >= loose * np.minimum(k, a + b - both)  # the estimate can't pass otherwise
+
+    more = held.written(_links(cells, near, lambda a, b: _estimates(a, b, k) >= loose).distinct(), "more")
+    held.drop("known", "list_blocks")
+    return starred, more, components(starred.unionByName(more), held=held)
+
+
+def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, candidates: DataFrame, size: int, lower: bool, percent: int, hashes: int, sets: int) -> tuple[DataFrame, DataFrame]:
+    """Exact links within the candidate components: by blocks and leaders, and of what these leave apart."""
+
+    def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 100 * both.astype(np.int64) >= percent * (a + b - both.astype(np.int64))
+
+    members = candidates.select(F.col("v").alias("node"), F.col("label").alias("comp")).join(reps.select("node", "s1", "s2", "n", "id", "mark"), "node")
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / hashes), F.ceil(F.count("*") / sets)).cast("int").alias("chunks"))
+    members = members.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    members = held.written(members, "members")
+    wanted = members.select("id", "mark").distinct()
+    marked = texts.withColumn("mark", F.xxhash64("text")).join(wanted, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    loaded = _whole_sets(marked, size, lower).join(members.select("s1", "s2", "node", "comp", "chunks", "c"), ["s1", "s2"])
+    blocks = loaded.withColumn("label", F.col("node")).groupBy("comp", "chunks", "c").agg(_block())
+    blocks = held.written(blocks, "blocks")
+
+    # Every block in itself, and with its component's most central members.
     large = members.where("chunks > 1")
-    tops = _most_central(large)
-    beside = tops.select("comp", "id", F.lit(-1).alias("c"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("i")).withColumn("j", F.col("i"))
-    round_one = own.unionByName(large.select("comp", "id", "c", F.col("c").alias("i"), F.col("c").alias("j"))).unionByName(beside)
-    with_text = lambda cells: cells.join(texts, "id")
-    first = written(_exact_links(with_text(round_one.withColumn("label", F.lit(None).cast(kind))).dropDuplicates(["comp", "i", "j", "id", "text"]), size, lower, percent, kind), "exact")
-    linked = components(first)
-
-    # Large components that leaders and chunks have not joined: all but the largest part against every chunk.
-    parts = large.join(linked.select(F.col("v").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    parts = written(parts, "parts")
-    sizes = parts.groupBy("comp", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("comp", F.col("top.label").alias("main"))
-    apart = parts.join(largest, "comp")
-    outside = apart.where("label <> main").select("comp", "id", "label", "c", "chunks")
-    n_outside = outside.groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
-    outside = outside.join(n_outside, "comp").withColumn("block", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int"))
-    left = outside.select("comp", "id", "label", F.lit(-1).alias("c"), F.col("block").alias("i"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("j"))
-    right = apart.join(n_outside, "comp").select("comp", "id", "label", "c", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.col("c").alias("j"))
-    again = left.unionByName(right).withColumn("j", F.col("j") + F.col("i") + 1)  # i and j differ: only across the two sides
-    second = written(_exact_links(with_text(again), size, lower, percent, kind), "exact")
-    final = components(first.unionByName(second))
-
-    found = reps.select("s1", "s2", "n", F.col("id").alias("v")).join(final, "v", "left").select("s1", "s2", "n", F.coalesce("label", "v").alias("component"))
-    out = signed.select("id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), F.lit(None)).otherwise(F.col("component"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component")).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
+    if large.isEmpty():
+        first = held.written(_links(_alone(blocks), near).distinct(), "first")
+        held.drop("members", "blocks")
+        return first, first.limit(0)
+    weights = lists.groupBy("node").agg(F.max("weight").alias("weight"))
+    ranked = large.join(weights, "node", "left").select("comp", F.struct((-F.coalesce("weight", F.lit(0))).alias("w"), "node").alias("rank"), F.pmod("c", F.lit(LEADERS)).alias("part"))
+    tops = ranked.groupBy("comp", "part").agg(F.min("rank").alias("rank")).select("comp", F.col("rank.node").alias("node"))
+    exploded = blocks.where("chunks > 1").select("comp", "c", F.explode("block").alias("m")).select("comp", "c", "m.node", "m.label", "m.set")
+    central = exploded.join(tops, ["comp", "node"], "left_semi").groupBy("comp").agg(_block()).withColumnRenamed("block", "right")
+    beside = blocks.where("chunks > 1").select("comp", F.col("block").alias("left")).join(central, "comp").select("left", "right")
+    first = held.written(_links(_alone(blocks).unionByName(beside), near).distinct(), "first")
+    linked = components(first, held=held)
+
+    # Components of several blocks that are still apart: all but the largest part against every block.
+    parts = large.select("comp", "node").join(linked.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = held.written(parts, "parts")
+    counts = parts.groupBy("comp", "label").agg(F.count("*").alias("n"))
+    apart = counts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    apart = apart.select("comp", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"))
+    now = exploded.drop("label").join(parts.select("node", "label"), "node").join(apart, "comp")
+    now = held.written(now, "apart")
+    every = now.groupBy("comp", "c").agg(_block())
+    chunks = members.select("comp", "chunks").distinct()
+    # As many blocks for the outside as its share of the members asks for.
+    outer = now.where("label <> main").join(chunks, "comp")
+    outer_blocks = F.greatest(F.lit(1), F.least(F.col("chunks"), F.ceil(F.col("outside") / F.lit(sets)))).cast("int")
+    outer = outer.withColumn("block_no", F.pmod(F.xxhash64("node", F.lit(11)), outer_blocks)).groupBy("comp", "block_no").agg(_block())
+    cells = outer.select("comp", F.col("block").alias("left")).join(every.select("comp", F.col("block").alias("right")), "comp").select("left", "right")
+    second = held.written(_links(cells, near).distinct(), "second")
+    held.drop("members", "blocks", "parts", "apart")
+    return first, second
