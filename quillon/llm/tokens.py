@@ -2,19 +2,37 @@
 
 A byte-level BPE vocabulary splits a text at every space that precedes a visible character, whatever stands around
 it, so ids of a text are the ids of its pieces one after another.  Pieces repeat; each is encoded once for as long as the memory
-holds it.  Texts with white space other than single spaces and line ends go to the library whole.
+holds it.  A piece of letters is one word to the vocabulary's splitter, and goes straight to the library's BPE model, as the
+characters that stand for its bytes.  Texts with white space other than single spaces and line ends, and texts that hold one of the
+vocabulary's added tokens, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Pieces held; when so many new ones have come, those not met again since the last turn are let go.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Pieces longer than this are not remembered.
 LONGEST = 64
+#: Letters below this character are letters in every version of Unicode that a splitter may know.
+_LETTERS = "\u0250"
+#: Words on which the short way is tried against the library's whole one.
+_TRIED = ("a", "word", "Capital", "naïve", "übergrößen", "ñandú", "supercalifragilistic")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: themselves if visible, else those from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_CHARACTERS = _byte_characters()
+
 
 class _Whole(Exception):
     """The text has to be encoded in one piece."""
@@ -26,6 +44,7 @@ class _Pieces(dict):
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead, self.old = encoder, lead, {}
+        self.shown, self.direct, self.kind, self.tokenize = lead.translate(_CHARACTERS), encoder.direct, encoder.type.char, encoder.tokenize
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
@@ -39,6 +58,11 @@ class _Pieces(dict):
         return found
 
     def _encode(self, piece: str) -> bytes:
+        if piece.isalpha() and self.direct and len(piece) <= LONGEST:
+            if piece.isascii():
+                return array(self.kind, [t.id for t in self.tokenize(self.shown + piece)]).tobytes()
+            if max(piece) < _LETTERS:
+                return self.encoder.word(self.lead, piece)
         if not piece:
             if self.lead:
                 raise _Whole  # two spaces in a row, or one at the end
@@ -66,18 +90,27 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.added = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.tokenize = self.model.model.tokenize
         self.type = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.bare, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
         self.line = self.whole("\n")
+        self.direct = all(self.word(lead, w) == self.whole(lead + w) for lead in ("", " ") for w in _TRIED)
+        self.bare, self.spaced = _Pieces(self, ""), _Pieces(self, " ")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def word(self, lead: str, letters: str) -> bytes:
+        """The ids of lead and letters as one word of the splitter."""
+        shown = (lead + letters).encode().decode("latin-1").translate(_CHARACTERS)
+        return array(self.type.char, [t.id for t in self.tokenize(shown)]).tobytes()
+
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text; a null has none."""
         if not text:
             return np.zeros(0, self.type)
+        if any(a in text for a in self.added):
+            return np.frombuffer(self.whole(text), self.type)
         pieces = text.split(" ")
         try:
             found = b"".join([self.bare[pieces[0]], *map(self.spaced.__getitem__, pieces[1:])])
