@@ -11,8 +11,13 @@ So a short document is read with two ranged reads: footer and index once a file,
 files under its hash.  A file's name is new for each attempt of a task and the manifest, which tasks return, names the one that
 counts, so a lost executor leaves a file that nothing refers to.
 
-Defined results: a null or empty text has the end id only; rows with equal ids follow one another; an empty table
-gives an empty manifest and a dictionary of no bytes; other columns are ignored.
+The dictionary is trained on a sample of SAMPLE_DOCS documents of SAMPLE_CHARS characters at most, those with the smallest hashes
+of their ids; every document is compressed with it.  Where the sample is too small for training (zstandard refuses some ten
+documents), the sample's own ids, up to DICTIONARY_BYTES, are the dictionary as raw content; without any such document, or in an
+empty table, the dictionary has no bytes and documents are compressed without one.
+
+Defined results: a null or empty text has the end id only; rows with equal ids follow one another; a null id comes first; an empty
+table gives an empty manifest; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,11 +54,13 @@ def _uri(path: str) -> str:
     return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_column: str) -> bytes:
-    """Trained on ids of the sample: the documents of fewer than SAMPLE_CHARS characters with the smallest hashes of their ids."""
-    sample = docs.where(F.length(text_column).between(1, SAMPLE_CHARS)).orderBy(F.xxhash64(id_column), F.xxhash64(text_column)).limit(SAMPLE_DOCS)
+def train_dictionary(docs: DataFrame, tokenizer: str, id_column: str, text_column: str) -> bytes:
+    """Trained on ids of the sample.  Its rows are chosen by hashes alone; the texts follow for the chosen ones."""
+    marked = docs.select(F.xxhash64(id_column).alias("a"), F.xxhash64(text_column).alias("b"), F.col(text_column).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
+    chosen = marked.select("a", "b").orderBy("a", "b").limit(SAMPLE_DOCS).distinct()
+    sample = marked.join(F.broadcast(chosen), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])  # SAMPLE_DOCS pairs of longs
     encode = encoder(tokenizer).encode
-    rows = [encode(r[0]).tobytes() for r in sample.select(text_column).collect()]
+    rows = [encode(r.text).tobytes() for r in sorted(sample.collect(), key=lambda r: (r.a, r.b))]
     if not rows:
         return b""
     try:
@@ -67,11 +74,12 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shards: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes the files and the manifest, a table at folder/manifest: shard, path, docs, tokens.  Returns the manifest."""
+    """Writes the files and the manifest, a table at folder/manifest: shard, path, docs, tokens, id_type.  Returns the manifest."""
+    id_type = docs.schema[id_column].dataType.simpleString()
     folder = _uri(folder)
     docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     spark = docs.sparkSession
-    trained = train_dictionary(docs, tokenizer, end_id, "id", "text")
+    trained = train_dictionary(docs, tokenizer, "id", "text")
     digest = hashlib.sha256(trained).digest()
     store, base = _open(folder)
     store.create_dir(base, recursive=True)
@@ -114,8 +122,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
     order = ["id", F.xxhash64("text")]
     dealt = docs.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "shard int, path string, docs bigint, tokens bigint").write.parquet(f"{folder}/manifest")
-    return spark.read.schema("shard int, path string, docs bigint, tokens bigint").parquet(f"{folder}/manifest")
+    dealt.mapInArrow(run, "shard int, path string, docs bigint, tokens bigint").withColumn("id_type", F.lit(id_type)).write.parquet(f"{folder}/manifest")
+    return spark.read.schema("shard int, path string, docs bigint, tokens bigint, id_type string").parquet(f"{folder}/manifest")
 
 
 class TokenFile:
@@ -155,11 +163,22 @@ class TokenFile:
             row = stop
 
 
-def read_tokens(manifest: DataFrame, id_column: str = "doc_id", id_type: str = "bigint") -> DataFrame:
+def read_document(manifest: DataFrame, doc_id: object) -> list[np.ndarray]:
+    """The ids of the documents with this id, by ranged reads of the files' indexes and of these documents' frames."""
+    out = []
+    for path in sorted(r.path for r in manifest.select("path").collect()):
+        held = TokenFile(path)
+        out += [held.ids(row) for row in np.flatnonzero(np.array([x == doc_id for x in held.index["id"].to_pylist()], bool))]
+    return out
+
+
+def read_tokens(manifest: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The id column, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit integers), one
     row a document, in the order of the shards.  Shards are few: the sums over them are taken in one task."""
     placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = max(1, manifest.count())
+    first = manifest.select("id_type").first()
+    id_type = first.id_type if first else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
