@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later places of every repeated line that holds a word go, and documents of which nothing else is left."""
     cleaned = line_dedup.dedup_lines(docs, window=1)
-    emptied = (F.size("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    emptied = (F.size(F.col(f"`{line_dedup.free_name(docs, 'line_dedup')}`.removed_lines")) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return _with_texts(docs, cleaned.where(~F.coalesce(emptied, F.lit(False))))
 
 
@@ -70,7 +70,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every later occurrence of a repeated sentence or run of sentences, lists of short items included, goes; only
     runs under five words together stay, which can be parts of numbers, addresses and abbreviations."""
-    return _with_texts(docs, unit_dedup.dedup_passages(docs, min_words=1, min_passage=5))
+    return _with_texts(docs, unit_dedup.dedup_passages(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,7 +73,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", "n_lines", F.size("removed_lines").alias("n_removed"), F.concat_ws(",", "removed_lines").alias("removed_lines"))
+    gone = F.col("line_dedup.removed_lines")
+    return out.select("doc_id", "text", "line_dedup.n_lines", F.size(gone).alias("n_removed"), F.concat_ws(",", gone).alias("removed_lines"))
 
 
 _OP5_SQL = r"""
@@ -87,7 +88,8 @@ g AS (
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY p)
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS occurrence FROM g WHERE run IS NOT NULL),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i1, i2]) AS i FROM r WHERE occurrence > 1)
+one AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS occurrence FROM h WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i1, i2]) AS i FROM r WHERE occurrence > 1 UNION SELECT doc_id, i FROM one WHERE occurrence > 1)
 SELECT d.doc_id, k.text, coalesce(n.n, 0)::INTEGER AS n_lines, coalesce(x.n, 0)::INTEGER AS n_removed, coalesce(x.lines, '') AS removed_lines
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)
@@ -112,10 +114,10 @@ WITH u AS (
 ),
 o AS (SELECT doc_id, i, unit, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start,
   trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')) AS s FROM u),
-c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q, len(string_split(s, ' ')) AS words FROM o WHERE s <> '' AND len(string_split(s, ' ')) >= 5),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS q, len(string_split(s, ' ')) AS words FROM o WHERE s <> ''),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, q) AS occurrence FROM c) WHERE occurrence > 1),
 p AS (SELECT doc_id, min(i) AS a, max(i) AS b, min(start) AS start, max(start + length(unit)) AS stop
-  FROM (SELECT *, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS island FROM r) GROUP BY doc_id, island HAVING sum(words) >= 25),
+  FROM (SELECT *, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS island FROM r) GROUP BY doc_id, island HAVING sum(words) >= 5),
 k AS (SELECT doc_id, string_agg(unit, '' ORDER BY i) AS text FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = o.doc_id AND o.i BETWEEN p.a AND p.b) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(x.n, 0)::INTEGER AS n_removed, coalesce(x.chars, 0)::INTEGER AS removed_chars, coalesce(x.spans, '') AS removed
 FROM documents d LEFT JOIN k USING (doc_id)
