@@ -17,8 +17,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import written
-
 #: What separates words, as characters for TRIM and TRANSLATE and as a pattern.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -82,15 +80,15 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     out = docs.select(F.col(id_column).alias(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     out = out.withColumn("__trimmed", F.expr(f"trim(BOTH {spaces} FROM __text)"))
     out = out.withColumn("__words", F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", SPACE_RUN, -1)))
-    out = out.withColumn("__lines", F.expr(f"filter(split(__trimmed, '\\n', -1), l -> trim(BOTH {spaces} FROM l) <> '')"))
+    out = out.withColumn("__lines", F.expr(f"filter(split(__text, '\\n', -1), l -> trim(BOTH {spaces} FROM l) <> '')"))
     out = out.select(
         id_column,
         "__words",
         F.size("__words").cast("bigint").alias("n_words"),
         F.expr(f"cast(char_length(translate(__text, {spaces}, '')) as bigint)").alias("word_chars"),
         F.expr(_count(SYMBOLS)).alias("n_symbols"),
-        F.size(F.expr(f"filter(split(__text, '\\n', -1), l -> trim(BOTH {spaces} FROM l) <> '')")).cast("bigint").alias("n_lines"),
-        F.expr(f"size(array_distinct(filter(split(__text, '\\n', -1), l -> trim(BOTH {spaces} FROM l) <> '')))").cast("bigint").alias("__distinct_lines"),
+        F.size("__lines").cast("bigint").alias("n_lines"),
+        F.size(F.array_distinct("__lines")).cast("bigint").alias("__distinct_lines"),
         F.expr(_count(DIGITS)).alias("n_digits"),
         F.expr(_count(CAPITALS)).alias("n_capitals"),
         F.expr(_count(SHOUTS)).alias("n_shouts"),
@@ -159,6 +157,7 @@ def filter_documents(docs: DataFrame, policy: str = "v1", id_column: str = "doc_
     repeated ids do no harm."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_column).alias("__doc_text"))
     judged = apply_policy(ledger(row, id_column="__row", text_column="__doc_text"), policy)
-    # The whole ledger is written with its rows before any is dropped: a filter pushed below the measurements would hold a
-    # copy of each for every use, some of them inside loops over words.
-    return written(judged, "ledger").where("kept").select("__row.*")
+    # A filter pushed below the measurements would hold a copy of each for every use, some of them inside loops over words.
+    # The optimizer moves none past a column whose value depends on the row's place.
+    judged = judged.select("__row", "kept", F.monotonically_increasing_id().alias("__place"))
+    return judged.where("kept and __place >= 0").select("__row.*")
