@@ -8,8 +8,11 @@ and never follows a path that can't be among the n best: of the open paths, whic
 segmentations, only as many are kept as are still wanted.
 
 No piece of the vocabulary crosses from a character into a space mark (checked when the model is read), so the lattice
-falls apart into words.  The search runs once for each word, kept in tables of fixed size, and the n best of a text
-come from its words' losses: only the n - 1 words that lose least by their next best segmentation can take part.
+falls apart into words, and the n best of a text come from its words' losses: only the n - 1 words that lose least by their
+second best segmentation can take part.  So every distinct word gets the forward pass, which keeps the two best scores of every
+place, and these few words of a text get the search.  The forward pass runs over all new words of a batch side by side, place by
+place, on arrays; its results are kept in a memory of fixed size.  A word of more than ``_LONG`` characters
+goes through the same pass alone, with a score and a back pointer for every place and no stored edges.
 
 Scores are those of the vocabulary.  In a model whose scores are merge ranks the best segmentation need not be that of
 the merges; all n decode to the same text.
@@ -35,16 +38,65 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the smallest score of a piece
-_CACHED, _CACHED_CHARS = 1 << 16, 64
+_CACHED, _CACHED_CHARS = 200_000, 64
+#: Characters of a word in the side by side pass at most, and of all new words of one such pass about.
+_LONG, _TOGETHER = 64, 400_000
+#: Characters of the texts whose words are learnt together.
+_TEXTS = 2_000_000
 _OUT = 4 << 20
 _DECODED = 1 << 18
-#: A word: its best score, what its second segmentation loses (infinite without one), the ids of the best, and its
-#: segmentations, best first, as (score, ids); ids are the bytes of 32-bit integers.
+#: A word: its best score, what its second segmentation loses (infinite without one), the ids of the best as bytes of 32-bit integers.
+Word = tuple[float, float, bytes]
+#: Segmentations, best first, as (score, ids).
 Best = tuple[tuple[float, bytes], ...]
-Word = tuple[float, float, bytes, Best]
 _models: dict[tuple[str, int], "Segmenter"] = {}
 
 
+class Trie:
+    """The beginnings of pieces as numbered states; a step from a state by a character is found in a table of hashes."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]]):
+        number = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                number.setdefault(p[:k], len(number))
+        self.piece = np.full(len(number), -1, np.int64)
+        self.score = np.zeros(len(number))
+        keys = np.empty(len(number), np.uint64)
+        for p, n in number.items():
+            if p in pieces:
+                self.piece[n], self.score[n] = pieces[p]
+            keys[n] = (number[p[:-1]] << 21 | ord(p[-1])) if p else 0
+        self.bits = np.uint64(64 - max(10, (2 * len(number)).bit_length()))
+        self.size = 1 << int(np.uint64(64) - self.bits)
+        self.keys, self.to = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int64)
+        waiting = np.arange(1, len(number))
+        at = self._place(keys[waiting])
+        while len(waiting):  # those that find their place taken go on to the next
+            free = np.flatnonzero(self.to[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.to[at[won]] = keys[waiting[won]], waiting[won]
+            rest = np.ones(len(waiting), bool)
+            rest[won] = False
+            waiting, at = waiting[rest], (at[rest] + 1) % self.size
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
+    def step(self, states: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The states that follow, -1 where none does."""
+        keys = states.astype(np.uint64) << np.uint64(21) | characters.astype(np.uint64)
+        at = self._place(keys)
+        out = self.to[at]
+        open_ = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % self.size
+            out[open_] = self.to[at[open_]]
+            open_ = open_[(self.keys[at[open_]] != keys[open_]) & (out[open_] >= 0)]
+        return out
+
+
 class Segmenter:
     def __init__(self, model_file: str | None, n: int, processor=None):
         if processor is None:
@@ -60,9 +112,13 @@ class Segmenter:
         self.pieces = {names[i]: (i, processor.get_score(i)) for i in plain}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece crosses into a space mark")
-        # Every beginning of a piece; an empty value where it is no piece itself.
-        self.starts: dict[str, tuple] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
+        self.trie = Trie(self.pieces)
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        self.longest = max((len(p) for p in self.pieces), default=1)
+        # The state after those of the trie stands for a character that is no piece.
+        self.score_of = np.append(self.trie.score, self.unknown)
+        self.piece_of = np.append(self.trie.piece, -1)
+        self.characters = [len(name) for name in names]
         self.unknown_id = processor.unk_id()
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if processor.is_byte(i)}
         self.text_of = [b"" if processor.is_control(i) else bytes([int(names[i][3:5], 16)]) if processor.is_byte(i) else names[i].encode() for i in range(size)]
@@ -76,35 +132,39 @@ class Segmenter:
         self.spaced = np.array([t.startswith(b" ") for t in shown])
         self.odd = np.array([processor.is_byte(i) or processor.is_control(i) for i in range(size)])
 
-    def _edges(self, word: str) -> list[list[tuple[int, float, int | None]]]:
-        """For every place, (start, score, id) of the edges that end there; id None for an unknown character."""
-        get, unknown, n = self.starts.get, self.unknown, len(word)
-        out: list[list[tuple[int, float, int | None]]] = [[] for _ in range(n + 1)]
-        for start in range(n):
-            stop = start + 1
-            found = get(word[start:stop], ())
-            if not found:
-                out[stop].append((start, unknown, None))
-            while found is not None:  # as long as a piece begins so
-                if found:
-                    out[stop].append((start, found[1], found[0]))
-                if stop == n:
-                    break
-                stop += 1
-                found = get(word[start:stop])
+    def _ending(self, word: str, stop: int) -> list[tuple[int, float, int | None]]:
+        """(start, score, id) of the edges that end at stop, from the smallest start on; id None for an unknown character."""
+        get = self.pieces.get
+        out: list[tuple[int, float, int | None]] = []
+        for start in range(max(0, stop - self.longest), stop):
+            found = get(word[start:stop])
+            if found:
+                out.append((start, found[1], found[0]))
+        if not out or out[-1][0] != stop - 1:
+            out.append((stop - 1, self.unknown, None))
         return out
 
+    def _forward(self, word: str) -> tuple[array, float, array]:
+        """The best score from the start to every place, the second best of the whole word, and for every place the start
+        of the best edge that ends there."""
+        ahead, second, back = array("d", [0.0]), array("d", [-np.inf]), array("q", [0])
+        for stop in range(1, len(word) + 1):
+            one, two, at = -np.inf, -np.inf, 0
+            for start, score, _ in self._ending(word, stop):
+                through = ahead[start] + score
+                if through > one:
+                    one, two, at = through, max(one, two), start
+                else:
+                    two = max(two, through)
+                two = max(two, second[start] + score)
+            ahead.append(one)
+            second.append(two)
+            back.append(at)
+        return ahead, second[-1], back
+
     def search(self, word: str) -> Best:
         """The n best segmentations of the whole lattice of word."""
-        ahead, edges = [0.0], []
-        for here in self._edges(word):
-            if here:  # (Viterbi score through the edge, start, score, id), best first
-                through = [(ahead[start] + score, start, score, piece) for start, score, piece in here]
-                if len(through) > 1:
-                    through.sort(key=_by_score)
-                ahead.append(through[0][0])
-                here = through
-            edges.append(here)
+        ahead = self._forward(word)[0]
         # Ascending: (minus the best whole score through the path, number, place, score of the path, the path as links).
         # A path's best edge leaves that score as it is, so it is followed at once and only the others are put off.
         open_paths: list[tuple] = [(-ahead[-1], 0, len(word), 0.0, None)]
@@ -112,7 +172,8 @@ class Segmenter:
         while open_paths and room >= 0:
             _, _, place, behind, path = open_paths.pop(0)
             while place:
-                here = edges[place]
+                here = [(ahead[start] + score, start, score, piece) for start, score, piece in self._ending(word, place)]
+                here.sort(key=_by_score)
                 for through, start, score, piece in here[1:] if room else ():
                     cost = -(through + behind)
                     if len(open_paths) >= room:
@@ -128,52 +189,179 @@ class Segmenter:
         return tuple(out)
 
     def _ids(self, word: str, path: tuple | None) -> bytes:
-        ids: list[int] = []
+        ids = array("i")
         while path is not None:
             start, stop, piece, path = path
-            if piece is not None:
-                ids.append(piece)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in word[start:stop].encode())
-            else:
-                ids.append(self.unknown_id)
-        return array("i", ids).tobytes()
-
-    def _word(self, word: str) -> Word:
-        """From the words seen of late, else searched."""
-        found = self._old.get(word)
-        if found is None:
-            best = self.search(word)
-            found = (best[0][0], best[0][0] - best[1][0] if len(best) > 1 else float("inf"), best[0][1], best)
+            self._put(ids, word[start:stop], piece)
+        return ids.tobytes()
+
+    def _put(self, ids: array, part: str, piece: int | None) -> None:
+        if piece is not None:
+            ids.append(piece)
+        elif self.bytes:
+            ids.extend([self.bytes[b] for b in part.encode()])
+        else:
+            ids.append(self.unknown_id)
+
+    def _alone(self, word: str) -> Word:
+        """By the forward pass over one word."""
+        ahead, second, back = self._forward(word)
+        bounds, place = array("q", [len(word)]), len(word)
+        while place:
+            place = back[place]
+            bounds.append(place)
+        ids = array("i")
+        for k in range(len(bounds) - 1, 0, -1):
+            part = word[bounds[k] : bounds[k - 1]]
+            found = self.pieces.get(part)
+            self._put(ids, part, found[0] if found else None)
+        return ahead[-1], ahead[-1] - second, ids.tobytes()
+
+    def _together(self, words: list[str]) -> list[Word]:
+        """By the forward pass over many words side by side, place by place."""
+        lengths = np.array([len(w) for w in words])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        # The places of a word are numbered one after another, one more than it has characters.
+        first = np.cumsum(lengths + 1) - lengths - 1
+        place = np.repeat(first, lengths) + np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
+        start, stop, state = [], [], []
+        on, now = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        whole = np.zeros(len(chars), bool)  # whether the character is a piece
+        for depth in range(1, self.longest + 1):
+            now = self.trie.step(now, chars[on + depth - 1])
+            on, now = on[now >= 0], now[now >= 0]
+            is_piece = self.trie.piece[now] >= 0
+            if depth == 1:
+                whole[on[is_piece]] = True
+            start.append(place[on[is_piece]])
+            stop.append(place[on[is_piece]] + depth)
+            state.append(now[is_piece])
+            more = left[on] > depth
+            on, now = on[more], now[more]
+            if not len(on):
+                break
+        start.append(place[~whole])
+        stop.append(place[~whole] + 1)
+        state.append(np.full(len(start[-1]), len(self.trie.piece)))
+        start, stop, state = np.concatenate(start), np.concatenate(stop), np.concatenate(state)
+        word_of = np.repeat(np.arange(len(words)), lengths + 1)
+        within = stop - first[word_of[stop]]
+        order = np.lexsort((start, stop, within))
+        start, stop, state, within = start[order], stop[order], state[order], within[order]
+        score = self.score_of[state]
+        ahead, second = np.full(len(word_of), -np.inf), np.full(len(word_of), -np.inf)
+        ahead[first] = 0.0
+        back = np.zeros(len(word_of), np.int64)
+        cuts = np.searchsorted(within, np.arange(1, int(lengths.max()) + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all edges that end at one place of their words
+            if a == b:
+                continue
+            ends = stop[a:b]
+            new = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            through = ahead[start[a:b]] + score[a:b]
+            top = np.maximum.reduceat(through, new)
+            group = np.cumsum(np.concatenate([[False], ends[1:] != ends[:-1]]))
+            best = np.flatnonzero(through == top[group])
+            best = best[np.concatenate([[True], group[best[1:]] != group[best[:-1]]])]  # the first of equals
+            ahead[ends[new]], back[ends[new]] = top, a + best
+            through[best] = -np.inf
+            second[ends[new]] = np.maximum(np.maximum.reduceat(through, new), np.maximum.reduceat(second[start[a:b]] + score[a:b], new))
+        # The best paths, from the ends back.
+        at, live, steps = first + lengths, np.flatnonzero(lengths > 0), []
+        while len(live):
+            edge = back[at[live]]
+            steps.append((live, self.piece_of[state[edge]]))
+            at[live] = start[edge]
+            live = live[at[live] > first[live]]
+        owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
+        piece = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        piece = piece[order].astype(np.int32)
+        data = piece.tobytes()
+        odd = np.bincount(owner[order], piece < 0, minlength=len(words)) > 0
+        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(words)))
+        tops = ahead[first + lengths]
+        with np.errstate(invalid="ignore"):
+            losses = tops - second[first + lengths]
+        out, begin = [], 0
+        for w, unknown, top, loss, end in zip(words, odd.tolist(), tops.tolist(), losses.tolist(), ends.tolist(), strict=True):
+            out.append((top, loss, self._spelt(w, piece[begin // 4 : end // 4]) if unknown else data[begin:end]))
+            begin = end
+        return out
+
+    def _spelt(self, word: str, pieces: np.ndarray) -> bytes:
+        """pieces with those below 0, which stand for a character each, written out."""
+        ids, at = array("i"), 0
+        for p in pieces.tolist():
+            stop = at + (self.characters[p] if p >= 0 else 1)
+            self._put(ids, word[at:stop], p if p >= 0 else None)
+            at = stop
+        return ids.tobytes()
+
+    def learn(self, words: list[str]) -> dict[str, Word]:
+        """Every distinct word of words, from the memory or by the forward pass."""
+        out: dict[str, Word] = {}
+        new: list[str] = []
+        for w in dict.fromkeys(words):
+            found = self._new.get(w)
+            if found is None:
+                found = self._old.get(w)
+                if found is None:
+                    if len(w) <= _LONG:
+                        new.append(w)
+                        continue
+                    found = self._alone(w)
+                self._remember(w, found)
+            out[w] = found
+        at = 0
+        while at < len(new):
+            stop, size = at, 0
+            while stop < len(new) and size < _TOGETHER:
+                size += len(new[stop])
+                stop += 1
+            for w, found in zip(new[at:stop], self._together(new[at:stop]), strict=True):
+                out[w] = found
+                self._remember(w, found)
+            at = stop
+        return out
+
+    def _remember(self, word: str, found: Word) -> None:
         if len(word) <= _CACHED_CHARS:
             if len(self._new) >= _CACHED:
                 self._old, self._new = self._new, {}
             self._new[word] = found
-        return found
 
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the n best segmentations, best first."""
-        if not text:
-            return [(0.0, np.zeros(0, np.int32))]
-        words = [self._new.get(word) or self._word(word) for word in _WORD.findall(self.processor.normalize(text))]
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """encode of each text; new words of all of them are learnt together."""
+        split = [_WORD.findall(self.processor.normalize(text)) if text else [] for text in texts]
+        known = self.learn([w for words in split for w in words])
+        for words in split:
+            yield self._nbest(words, [known[w] for w in words])
+
+    def _nbest(self, texts: list[str], words: list[Word]) -> list[tuple[float, np.ndarray]]:
         best = [w[2] for w in words]
-        top = sum([w[0] for w in words])
+        top = float(sum([w[0] for w in words]))
         out = [(top, _joined(best))]
         if self.n > 1 and words:
             losses = np.array([w[1] for w in words])
             least = [k for k in np.argsort(losses, kind="stable")[: self.n - 1].tolist() if np.isfinite(losses[k])]
-            for loss, taken in self._combine(least, words):
+            searched = {k: self.search(texts[k]) for k in least}
+            for loss, taken in self._combine(searched):
                 parts = best.copy()
                 for k, r in taken:
-                    parts[k] = words[k][3][r][1]
+                    parts[k] = searched[k][r][1]
                 out.append((top - loss, _joined(parts)))
         return out
 
-    def _combine(self, cheapest: list[int], words: list[Word]) -> list[tuple[float, list[tuple[int, int]]]]:
+    def _combine(self, searched: dict[int, Best]) -> list[tuple[float, list[tuple[int, int]]]]:
         """The n - 1 smallest losses but none, of choices of a segmentation for some of the words: (loss, [(word, rank)])."""
         sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for k in cheapest:
-            own = words[k][3]
+        for k, own in searched.items():
             sums = heapq.nsmallest(self.n, ((loss + own[0][0] - own[r][0], taken + (((k, r),) if r else ())) for loss, taken in sums for r in range(len(own))))
         return [(loss, list(taken)) for loss, taken in sums if taken]
 
@@ -236,16 +424,21 @@ def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str =
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
                 return pa.RecordBatch.from_arrays(columns, names=[id_column, "rank", "score", "ids"])
 
-            for row, text in enumerate(batch.column(1)):
-                for rank, (score, found) in enumerate(own.encode(text.as_py()), 1):
-                    rows.append(row)
-                    ranks.append(rank)
-                    scores.append(score)
-                    ids.append(found)
-                    size += len(found)
-                if size > _OUT // 4:
-                    yield full()
-                    rows, ranks, scores, ids, size = [], [], [], [], 0
+            characters = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(characters, (characters[at - 1] if at else 0) + _TEXTS, "right")))
+                for row, best in enumerate(own.encode_many(batch.column(1).slice(at, stop - at).to_pylist()), at):
+                    for rank, (score, found) in enumerate(best, 1):
+                        rows.append(row)
+                        ranks.append(rank)
+                        scores.append(score)
+                        ids.append(found)
+                        size += len(found)
+                    if size > _OUT // 4:
+                        yield full()
+                        rows, ranks, scores, ids, size = [], [], [], [], 0
+                at = stop
             if rows:
                 yield full()
 
