@@ -7,7 +7,7 @@
    sets sharing ``needed`` values meet in one (all ``n - needed + 1`` of them); values that no other set retains cost nothing, and
    common values, of a passage that many documents share, are left out unless a set has hardly any others.
 3. In each list every member is compared with one leader; pairs whose union-sketch estimate passes ``loose`` are
-   candidate links.  Lists that these links don't make one component are compared in full across components.
+   candidate links.  In lists that these links don't hold together, the members outside the largest part are compared with all.
 4. Exact Jaccard verifies within each candidate component, on sets made again from whole texts.  A component is cut into blocks;
    every block is compared in itself and with a few central members.  Where a component of several blocks still falls
    apart, the members outside its largest part are compared with all blocks.
@@ -118,7 +118,7 @@ def rare_lists(reps: DataFrame, needed: int, threshold: float) -> DataFrame:
     """v, node, weight: the lists that each set enters.  weight: how common its values are, the higher the more central."""
     values = reps.select("node", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("freq")).where("freq > 1")
-    common = values.join(shared, "v").groupBy("node", "kept").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("common"), F.sum("freq").alias("weight"))
+    common = values.join(shared.hint("merge"), "v").groupBy("node", "kept").agg(F.array_sort(F.collect_list(F.struct("freq", "v"))).alias("common"), F.sum("freq").alias("weight"))
     least = F.least(F.lit(needed), F.ceil(F.col("kept") * F.lit(threshold)))
     take = F.size("common") - least.cast("int") + 1  # of the rarest kept - least + 1, those that are shared
     return common.where(take > 0).select("node", "weight", F.explode(F.slice("common", 1, take)).alias("c")).select(F.col("c.v").alias("v"), "node", "weight")
@@ -278,7 +278,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     one_id = held.written(named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "one_id")
 
     lists = held.written(rare_lists(reps, needed, threshold), "lists")
-    starred, more, candidates = _candidates(held, reps, lists, k, loose, sketches)
+    candidates = _candidates(held, reps, lists, k, loose, sketches)
     first, second = _exact(held, texts, reps, lists, candidates, size, lower, percent, hashes, sets)
     held.drop("lists")
 
@@ -296,34 +296,49 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     return out
 
 
-def _candidates(held: Scratch, reps: DataFrame, lists: DataFrame, k: int, loose: float, sketches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidate links by leaders, those of lists compared in full, and the components of both."""
+def _candidates(held: Scratch, reps: DataFrame, lists: DataFrame, k: int, loose: float, sketches: int) -> DataFrame:
+    """The components of candidate links: those by leaders, and those inside lists that leaders don't hold together."""
     # One leader a list: the most central member.
-    leaders = lists.groupBy("v").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("top"), F.count("*").alias("n")).where("n > 1").select("v", F.col("top.node").alias("b"))
-    pairs = lists.join(leaders, "v").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    rank = F.struct((-F.col("weight")).alias("w"), "node")
+    leaders = lists.groupBy("v").agg(F.min(rank).alias("top"), F.count("*").alias("n")).where("n > 1").select("v", "top")
+    pairs = lists.join(leaders, "v").where("node <> top.node").select("node", "weight", "top").distinct()
     sketch_of = reps.select("node", "sketch")
-    pairs = pairs.join(sketch_of.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    starred = held.written(pairs.where(estimate(F.col("sa"), F.col("sb"), k) >= loose).select("a", "b"), "starred")
-    labels = components(starred, held=held)
-
-    # Lists that are still in several components.
-    known = lists.select("v", "node").join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    pairs = pairs.join(sketch_of.withColumnRenamed("sketch", "sa").hint("merge"), "node")
+    pairs = pairs.join(sketch_of.select(F.col("node").alias("b"), F.col("sketch").alias("sb")).hint("merge"), F.col("top.node") == F.col("b"))
+    starred = held.written(pairs.where(estimate(F.col("sa"), F.col("sb"), k) >= loose).select("node", "weight", "top"), "starred")
+    # A member's label is the most central one of itself and the leaders that it is linked with.
+    labels = starred.groupBy("node").agg(F.least(F.min("top"), F.min(rank)).alias("hub")).select("node", F.col("hub.node").alias("label"))
+    links = starred.select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+
+    # Lists whose members have several labels: those with another label than most are compared with all.
+    known = lists.select("v", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = held.written(known, "known")
-    mixed = known.groupBy("v").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).where("x <> y")
-    mixed = mixed.select("v", F.ceil(F.col("size") / sketches).cast("int").alias("chunks"))
-    members = known.join(mixed, "v").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
+    counts = known.groupBy("v", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("v").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("v", F.col("top.label").alias("main"))
+    members = known.join(mixed, "v").select("main", "node", "label").distinct()
     members = members.join(sketch_of.withColumnRenamed("sketch", "set"), "node")
-    blocks = held.written(members.groupBy("v", "chunks", "c").agg(_block()), "list_blocks")
-    large = blocks.where("chunks > 1")
-    across = large.select("v", F.col("c").alias("i"), F.col("block").alias("left")).join(large.select("v", F.col("c").alias("j"), F.col("block").alias("right")), "v").where("i < j")
-    cells = _alone(blocks).unionByName(across.select("left", "right"))
+    members = held.written(members.select(F.col("main").alias("comp"), "main", "node", "label", "set"), "mixed")
 
     def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return both >= loose * np.minimum(k, a + b - both)  # the estimate can't pass otherwise
 
-    more = held.written(_links(cells, near, lambda a, b: _estimates(a, b, k) >= loose).distinct(), "more")
-    held.drop("known", "list_blocks")
-    return starred, more, components(starred.unionByName(more), held=held)
+    more = held.written(_links(_outside_cells(members, k * sketches, sketches), near, lambda a, b: _estimates(a, b, k) >= loose).distinct(), "more")
+    held.drop("known", "mixed")
+    return components(links.unionByName(more), held=held)
+
+
+def _outside_cells(members: DataFrame, values: int, sets: int) -> DataFrame:
+    """Cells of the members of every group (comp) whose label isn't the group's main one with all of its members.  A block has
+    about so many values and so many members at most."""
+    size = F.size("set")
+    outside = F.col("label") != F.col("main")
+    blocks = lambda own: F.greatest(F.ceil(F.sum(F.when(own, size)) / values), F.ceil(F.sum(F.when(own, 1)) / sets)).cast("int")
+    sizes = members.groupBy("comp").agg(blocks(F.lit(True)).alias("every"), blocks(outside).alias("outer"))
+    dealt = members.join(sizes, "comp")
+    number = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).alias("c")
+    every = dealt.select("comp", number("every", 7), "node", "label", "set").groupBy("comp", "c").agg(_block())
+    outer = dealt.where(outside).select("comp", number("outer", 11), "node", "label", "set").groupBy("comp", "c").agg(_block())
+    return outer.select("comp", F.col("block").alias("left")).join(every.select("comp", F.col("block").alias("right")), "comp").select("left", "right")
 
 
 def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, candidates: DataFrame, size: int, lower: bool, percent: int, hashes: int, sets: int) -> tuple[DataFrame, DataFrame]:
@@ -361,17 +376,9 @@ def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, c
     parts = large.select("comp", "node").join(linked.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = held.written(parts, "parts")
     counts = parts.groupBy("comp", "label").agg(F.count("*").alias("n"))
-    apart = counts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    apart = apart.select("comp", F.col("top.label").alias("main"), (F.col("all") - F.col("top.n")).alias("outside"))
-    now = exploded.drop("label").join(parts.select("node", "label"), "node").join(apart, "comp")
-    now = held.written(now, "apart")
-    every = now.groupBy("comp", "c").agg(_block())
-    chunks = members.select("comp", "chunks").distinct()
-    # As many blocks for the outside as its share of the members asks for.
-    outer = now.where("label <> main").join(chunks, "comp")
-    outer_blocks = F.greatest(F.lit(1), F.least(F.col("chunks"), F.ceil(F.col("outside") / F.lit(sets)))).cast("int")
-    outer = outer.withColumn("block_no", F.pmod(F.xxhash64("node", F.lit(11)), outer_blocks)).groupBy("comp", "block_no").agg(_block())
-    cells = outer.select("comp", F.col("block").alias("left")).join(every.select("comp", F.col("block").alias("right")), "comp").select("left", "right")
+    apart = counts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("comp", F.col("top.label").alias("main"))
+    now = exploded.drop("label").join(parts.select("node", "label"), "node").join(apart, "comp").select("comp", "main", "node", "label", "set")
+    cells = _outside_cells(held.written(now, "apart"), hashes, sets)
     second = held.written(_links(cells, near).distinct(), "second")
     held.drop("members", "blocks", "parts", "apart")
     return first, second
