@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.functions import text
 from quillon.operators import evaluation, ranking
+from quillon.plans import measures, rewards, selection, texts
 
 
 def _t(spark, sf_dir, name):
@@ -36,45 +36,16 @@ def a4_repeats(spark, sf_dir):
     return evaluation.repeats(_t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
 
 
-def a10_distribution(spark, sf_dir):
-    return evaluation.distribution(_t(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity").select("l_returnflag", "least", "most", "p50", "p95", "median")
-
-
-def a12_histogram(spark, sf_dir):
-    return evaluation.histogram(_t(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity", [0.0, 10.0, 20.0, 30.0, 40.0, 50.000001])
-
-
-def a15_agreement(spark, sf_dir):
-    e = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_orderstatus")
-    return evaluation.agreement(e, _t(spark, sf_dir, "customer"), "c_custkey", "o_orderpriority", F.col("o_orderstatus") == "F")
-
-
-def a17_transitions(spark, sf_dir):
-    return evaluation.transitions(_t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")
-
-
-def n2_query_template(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", text.query_template(F.col("p_name")).alias("template"), text.option_text(F.concat_ws(" / ", "p_name", "p_type")).alias("option"), text.plain_text("p_type").alias("plain"))
-
-
-def j9_resume_anti_join(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 def d21_paged(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return ranking.paged(o, "o_custkey", 5, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderkey", "rank", "page", "total_pages")
 
 
-def g3_leaks(spark, sf_dir):
-    return ranking.leaks(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus")
-
-
-QUERIES = {f.__name__: f for f in (d1_latest, d3_first, d9_stratified_split, a1_fixed_denominator, a4_repeats, a10_distribution, a12_histogram, a15_agreement, a17_transitions, n2_query_template, j9_resume_anti_join, d21_paged, g3_leaks)}
+QUERIES = {f.__name__: f for f in (d1_latest, d3_first, d9_stratified_split, a1_fixed_denominator, a4_repeats, d21_paged)} | selection.QUERIES | measures.QUERIES | texts.QUERIES | rewards.QUERIES
 
 _QUOTA = "({total} * n) // of + (row_number() OVER (ORDER BY ({total} * n) % of DESC, s) <= {total} - sum(({total} * n) // of) OVER ())::BIGINT"
 
-ORACLES = {
+ORACLES = selection.ORACLES | measures.ORACLES | texts.ORACLES | rewards.ORACLES | {
     "d1_latest": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "d3_first": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
     "d9_stratified_split": f"""
@@ -91,18 +62,7 @@ FROM customer LEFT JOIN f ON o_custkey = c_custkey""",
     "a4_repeats": """
 WITH m AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type AS again FROM events)
 SELECT user_id, count(*) AS n, count(*) - count(DISTINCT event_type) AS duplicates, count(*) FILTER (WHERE again) AS consecutive FROM m GROUP BY 1""",
-    "a10_distribution": "SELECT l_returnflag, min(l_quantity) AS least, max(l_quantity) AS most, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95, quantile_cont(l_quantity, 0.5) AS median FROM lineitem GROUP BY 1",
-    "a12_histogram": "SELECT least(floor(l_quantity / 10), 4)::INT AS bin, count(*) AS n FROM lineitem WHERE l_quantity >= 0 AND l_quantity < 50.000001 GROUP BY 1",
-    "a15_agreement": "WITH s AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT coalesce(k, 0) AS k, count(*) AS n_tasks FROM customer LEFT JOIN s ON o_custkey = c_custkey GROUP BY 1",
-    "a17_transitions": """
-WITH n AS (SELECT event_type AS "left", lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS "right" FROM events)
-SELECT "left", "right", count(*) AS n FROM n WHERE "right" IS NOT NULL GROUP BY 1, 2""",
-    "n2_query_template": r"""
-SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '\d+(?:\.\d+)?', '<num>', 'g'), '[^\w<>]+', '', 'g') AS template,
-  regexp_replace(replace(lower(p_name || ' / ' || p_type), '/', '|'), '\s+', '', 'g') AS option, trim(regexp_replace(lower(p_type), '\s+', ' ', 'g')) AS plain FROM part""",
-    "j9_resume_anti_join": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "d21_paged": """
 SELECT o_orderkey, r::INT AS rank, ((r + 4) // 5)::INT AS page, ((count(*) OVER (PARTITION BY o_custkey) + 4) // 5)::INT AS total_pages
 FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders)""",
-    "g3_leaks": "SELECT sha256(o_custkey::VARCHAR) AS key_sha256, count(DISTINCT o_orderstatus) AS n_splits FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1",
 }
