@@ -19,19 +19,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", held: Scratch | Non
     """
     held = held or Scratch(edges.sparkSession, "components")
     one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = held.written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    both = held.written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels, old = held.written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels0"), "labels0"
     for n in range(1, 1000):
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").select(F.col("a").alias("v"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        step = near.unionByName(labels.withColumn("old", F.col("label"))).groupBy("v").agg(F.min("label").alias("label"), F.min("old").alias("old"))
         onward = labels.select(F.col("v").alias("label"), F.col("label").alias("further"))
         jumped = step.join(onward, "label").select("v", "old", F.least("label", "further").alias("label"))
         new = held.written(jumped, f"labels{n}")
         held.drop(old)
         old = f"labels{n}"
-        changed = new.where("label <> old").limit(1).count()
         labels = new.select("v", "label")
-        if not changed:
+        if new.where("label <> old").isEmpty():
             break
     held.drop("edges")
     return labels

@@ -275,19 +275,20 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     named = held.written(named, "named")
     held.drop("signed")
     several = named.where("id is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")
-    one_id = held.written(named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "one_id")
+    shared_ids = not several.isEmpty()
+    one_id = named.join(several, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct() if shared_ids else None
 
     lists = held.written(rare_lists(reps, needed, threshold), "lists")
     candidates = _candidates(held, reps, lists, k, loose, sketches)
     first, second = _exact(held, texts, reps, lists, candidates, size, lower, percent, hashes, sets)
     held.drop("lists")
 
-    final = components(first.unionByName(second).unionByName(one_id), held=held)
+    final = components(first.unionByName(second).unionByName(one_id) if shared_ids else first.unionByName(second), held=held)
     found = reps.select("node", "id").join(final.select(F.col("v").alias("node"), "label"), "node", "left").select("id", "node", F.coalesce("label", "node").alias("label"))
     least = found.groupBy("label").agg(F.min("id").alias("component"))
     of_node = found.select("node", "label").join(least, "label").select("node", "component")
     whole = named.join(of_node, "node", "left")
-    if not one_id.isEmpty():  # a row without words may share its id with rows that have some
+    if shared_ids:  # a row without words may share its id with rows that have some
         of_id = whole.where("node is not null").groupBy("id").agg(F.min("component").alias("own"))
         whole = whole.join(of_id, "id", "left").withColumn("component", F.coalesce("component", "own"))
     out = whole.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
@@ -322,7 +323,7 @@ def _candidates(held: Scratch, reps: DataFrame, lists: DataFrame, k: int, loose:
     def near(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return both >= loose * np.minimum(k, a + b - both)  # the estimate can't pass otherwise
 
-    more = held.written(_links(_outside_cells(members, k * sketches, sketches), near, lambda a, b: _estimates(a, b, k) >= loose).distinct(), "more")
+    more = held.written(_links(_outside_cells(members, k * sketches, sketches), near, lambda a, b: _estimates(a, b, k) >= loose), "more")
     held.drop("known", "mixed")
     return components(links.unionByName(more), held=held)
 
@@ -351,7 +352,8 @@ def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, c
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.sum("n") / hashes), F.ceil(F.count("*") / sets)).cast("int").alias("chunks"))
     members = members.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("node", F.lit(7)), F.col("chunks")).cast("int"))
     members = held.written(members, "members")
-    wanted = members.select("id", "mark").distinct()
+    # One plan at every size: texts are dealt by id and hash once, for the join and for dropping repeated rows.
+    wanted = members.select("id", "mark").hint("merge")
     marked = texts.withColumn("mark", F.xxhash64("text")).join(wanted, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
     loaded = _whole_sets(marked, size, lower).join(members.select("s1", "s2", "node", "comp", "chunks", "c"), ["s1", "s2"])
     blocks = loaded.withColumn("label", F.col("node")).groupBy("comp", "chunks", "c").agg(_block())
@@ -360,7 +362,7 @@ def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, c
     # Every block in itself, and with its component's most central members.
     large = members.where("chunks > 1")
     if large.isEmpty():
-        first = held.written(_links(_alone(blocks), near).distinct(), "first")
+        first = held.written(_links(_alone(blocks), near), "first")
         held.drop("members", "blocks")
         return first, first.limit(0)
     weights = lists.groupBy("node").agg(F.max("weight").alias("weight"))
@@ -369,7 +371,7 @@ def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, c
     exploded = blocks.where("chunks > 1").select("comp", "c", F.explode("block").alias("m")).select("comp", "c", "m.node", "m.label", "m.set")
     central = exploded.join(tops, ["comp", "node"], "left_semi").groupBy("comp").agg(_block()).withColumnRenamed("block", "right")
     beside = blocks.where("chunks > 1").select("comp", F.col("block").alias("left")).join(central, "comp").select("left", "right")
-    first = held.written(_links(_alone(blocks).unionByName(beside), near).distinct(), "first")
+    first = held.written(_links(_alone(blocks).unionByName(beside), near), "first")
     linked = components(first, held=held)
 
     # Components of several blocks that are still apart: all but the largest part against every block.
@@ -379,6 +381,6 @@ def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, c
     apart = counts.groupBy("comp").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("comp", F.col("top.label").alias("main"))
     now = exploded.drop("label").join(parts.select("node", "label"), "node").join(apart, "comp").select("comp", "main", "node", "label", "set")
     cells = _outside_cells(held.written(now, "apart"), hashes, sets)
-    second = held.written(_links(cells, near).distinct(), "second")
+    second = held.written(_links(cells, near), "second")
     held.drop("members", "blocks", "parts", "apart")
     return first, second
