@@ -339,7 +339,8 @@ def _outside_cells(members: DataFrame, values: int, sets: int) -> DataFrame:
     number = lambda of, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of)).alias("c")
     every = dealt.select("comp", number("every", 7), "node", "label", "set").groupBy("comp", "c").agg(_block())
     outer = dealt.where(outside).select("comp", number("outer", 11), "node", "label", "set").groupBy("comp", "c").agg(_block())
-    return outer.select("comp", F.col("block").alias("left")).join(every.select("comp", F.col("block").alias("right")), "comp").select("left", "right")
+    cells = outer.select("comp", F.col("c").alias("i"), F.col("block").alias("left")).join(every.select("comp", F.col("c").alias("j"), F.col("block").alias("right")), "comp")
+    return cells.repartition("comp", "i", "j").select("left", "right")  # the cells of one group are many tasks' work
 
 
 def _exact(held: Scratch, texts: DataFrame, reps: DataFrame, lists: DataFrame, candidates: DataFrame, size: int, lower: bool, percent: int, hashes: int, sets: int) -> tuple[DataFrame, DataFrame]:
