@@ -321,8 +321,15 @@ def brands(instruction: Column, title: Column, shop: Column, aliases: dict[str,
     target = plain_text(F.concat_ws(" ", title, shop), True)
     known = [F.when(F.contains(said, F.lit(a)) & F.contains(target, F.lit(a)), F.lit(c)) for a, c in aliases.items() if len(a) >= 2]
     name = F.regexp_replace(plain_text(shop, True), "(?:" + "|".join(suffixes) + ")$", "")
-    sizes = F.filter(F.sequence(F.lit(12), F.lit(2), F.lit(-1)), lambda k: (k <= F.length(name)) & F.contains(said, F.substring(name, F.lit(1), k)) & F.contains(named, F.substring(name, F.lit(1), k)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*known, F.when(F.size(sizes) > 0, F.left(name, F.get(sizes, F.lit(0))))))))
+    # What is compared goes in as an array, as no Python function can stand inside a lambda.
+    asked = F.struct(name.alias("name"), said.alias("said"), named.alias("named"))
+
+    def beginning(k: Column, x: Column) -> Column:
+        part = F.substring(x["name"], F.lit(1), k)
+        return F.when((k <= F.length(x["name"])) & F.contains(x["said"], part) & F.contains(x["named"], part), part)
+
+    starts = F.array_compact(F.zip_with(F.sequence(F.lit(12), F.lit(2), F.lit(-1)), F.array_repeat(asked, F.lit(11)), beginning))
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*known, F.get(starts, F.lit(0))))))
 
 
 def price_ladder(price: Column) -> Column:

@@ -242,7 +242,8 @@ def merge_report(rows: DataFrame, source: str, content: Column, kept: Column) ->
 
 
 def id_hashes(ids: DataFrame, key: str, position: Column) -> DataFrame:
-    """sha256 of the ids as a JSON list, in order of position (ordered_sha256) and as a sorted set (set_sha256)."""
+    """sha256 of the ids as a JSON list, in order of position (ordered_sha256) and as a sorted set (set_sha256).  The list is one value by
+    its definition: for the ids of a manifest, not of a corpus."""
     listed = lambda a: F.sha2(F.concat(F.lit("["), F.array_join(F.transform(a, lambda x: x.cast("string")), ","), F.lit("]")), 256)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(position.alias("p"), F.col(key).alias("k")))), lambda x: x["k"])
     return ids.agg(listed(ordered).alias("ordered_sha256"), listed(F.array_sort(F.collect_set(key))).alias("set_sha256"))

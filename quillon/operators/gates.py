@@ -46,8 +46,11 @@ def acceptance_reasons(strict: Column, contract: Column, wanted_contract: str, e
 def indexed_reasons(base: list[tuple[str, Column]], messages: Column, tests: dict[str, object]) -> Column:
     """codes in their order, then code:index for every element of messages that a test (a function of it) finds."""
     plain = F.array_compact(F.array(*[F.when(c, code) for code, c in base]))
-    each = [F.array_compact(F.transform(messages, lambda m, i, t=test, n=name: F.when(t(m), F.concat(F.lit(f"{n}:"), i.cast("string"))))) for name, test in tests.items()]
-    return F.concat(plain, *each)
+
+    def found(name: str, test) -> Column:
+        return F.array_compact(F.transform(messages, lambda m, i: F.when(test(m), F.concat(F.lit(f"{name}:"), i.cast("string")))))
+
+    return F.concat(plain, *[found(name, test) for name, test in tests.items()])
 
 
 def action_refusal(tool: Column, argument: Column, page: Column, products: Column, buttons: Column) -> Column:

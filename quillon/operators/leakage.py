@@ -68,11 +68,19 @@ def allocate(pool: DataFrame, splits: list[tuple[str, int]], seed: int) -> DataF
     beyond it is lost to all later splits.  Components are claimed in the order of their first task, so their sizes' running sum tells
     what each gives.  ValueError if a quota can't be filled.
 
-    The running sum goes over components that a bound by the quota lets through, no more than quota of them."""
+    Of each difficulty only the first turns are ranked, which a group limit keeps small, and more of them if the components that these reach don't
+    fill the quota.  The running sum goes over quota components at most."""
     out = None
     for split, quota in splits:
-        turns = interleaved(pool, "difficulty", F.lit(seed), F.lit(split), F.col("difficulty"), F.col("task"))
-        claims = turns.groupBy("root").agg(F.min(F.struct("turn", "difficulty")).alias("at"), F.count("*").alias("size"))
+        sizes = pool.groupBy("root").agg(F.count("*").alias("size"))
+        most = pool.count()
+        turns = 2 * quota
+        while True:
+            early = interleaved(pool, "difficulty", F.lit(seed), F.lit(split), F.col("difficulty"), F.col("task")).where(F.col("turn") <= turns)
+            claims = checkpointed(early.groupBy("root").agg(F.min(F.struct("turn", "difficulty")).alias("at")).join(sizes, "root"))
+            if turns >= most or (claims.agg(F.sum("size")).first()[0] or 0) >= quota:
+                break
+            turns *= 8
         first = claims.orderBy("at").limit(quota)  # each gives one task at least
         before = F.coalesce(F.sum("size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         taken = first.withColumn("before", before).where(F.col("before") < quota).select("root", "before")
@@ -88,7 +96,8 @@ def allocate(pool: DataFrame, splits: list[tuple[str, int]], seed: int) -> DataF
 
 
 def split_records(assigned: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Split, difficulty and n, with ids_sha256 of the split's sorted ids as a JSON list."""
+    """Split, difficulty and n, with ids_sha256 of the split's sorted ids as a JSON list, which is one value: splits are
+    as large as their quotas."""
     ids = assigned.groupBy("split").agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("task")), lambda x: x.cast("string")), ","), F.lit("]")), 256).alias("ids_sha256"))
     return assigned.join(tasks.select("task", "difficulty"), "task").groupBy("split", "difficulty").agg(F.count("*").alias("n")).join(ids, "split")
 

@@ -93,10 +93,11 @@ def refill(source: DataFrame, reserve: DataFrame, invalid: DataFrame, key: str,
     spare = reserve.select(F.col(key).alias("task"), stratum, stable_hash(F.lit(seed), F.lit("reserve"), F.col(key)).alias("h"))
     by = Window.partitionBy(stratum)
     slots = slots.withColumn("k", F.row_number().over(by.orderBy("o")))
-    spare = spare.withColumn("k", F.row_number().over(by.orderBy("h", "task")))
+    wanted = slots.count()
+    spare = spare.withColumn("k", F.row_number().over(by.orderBy("h", "task"))).where(F.col("k") <= 2 * wanted)  # a group limit
     matched = slots.join(spare.select(stratum, "k", "task", "h"), [stratum, "k"])
     rest = slots.join(matched.select("replaces"), "replaces", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("o")))  # invalid rows are few
-    left = spare.join(matched.select("task"), "task", "left_anti").withColumn("k", F.row_number().over(Window.orderBy("h", "task")))
+    left = spare.join(matched.select("task"), "task", "left_anti").orderBy("h", "task").limit(wanted).withColumn("k", F.row_number().over(Window.orderBy("h", "task")))
     more = rest.join(left.select("k", "task"), "k")
     return matched.select(split, "task", "replaces").unionByName(more.select(split, "task", "replaces"))
 

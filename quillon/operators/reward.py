@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import UNITS, folded_list, in_base_unit, option_axis, option_text, plain_text
+from quillon.functions.prices import price_candidates
+from quillon.functions.text import UNITS, brands, clean_list, exact_spans, folded_list, in_base_unit, option_axis, option_text, plain_text, shared_models
 
 PASS, FAIL, UNVERIFIABLE = "pass", "fail", "unverifiable"
 # Fixed values.
@@ -289,3 +290,41 @@ def disagreements(assessments: DataFrame, outcomes: DataFrame) -> DataFrame:
 def constraint_contract(instruction: Column, attributes: Column, options: Column) -> Column:
     """whether a task's demands are complete: it says something and has both lists."""
     return (F.regexp_replace(F.coalesce(instruction, F.lit("")), r"(?U)\s+", "") != "") & attributes.isNotNull() & options.isNotNull()
+
+
+def features(instruction: Column, attributes: Column, title: Column, shop: Column, description: Column, aliases: dict[str, str]) -> Column:
+    """struct<expected_brand,expected_model,expected_core_functions> of a task; its options come from resolved_options."""
+    target = F.concat_ws(" ", F.when(title != "", title), F.when(description != "", description))
+    return F.struct(brands(instruction, title, shop, aliases).alias("expected_brand"), shared_models(instruction, target).alias("expected_model"), clean_list(F.coalesce(attributes, F.array().cast("array<string>"))).alias("expected_core_functions"))
+
+
+def rubric_candidates(tasks: DataFrame, query: str, category: str, lists: dict[str, str], options: str) -> DataFrame:
+    """Task, candidate_id (c0001 on), kind, field, operator, value, hardness and spans (places in the query) of a task's possible demands:
+    its category's leaf, every value of the lists by kind, every option (map of axis to value), and the prices it states; of equal ones the
+    first counts."""
+    # Field and operator by kind.
+    fields = {"brand": ("product.brand", "eq"), "model": ("product.model", "eq"), "core_function": ("product.attributes", "contains")}
+    one = lambda kind, field, op, value, said, hard="hard": F.struct(F.lit(kind).alias("kind"), field.alias("field"), op.alias("operator"), value.alias("value"), said.alias("said"), F.lit(hard).alias("hardness"))
+
+    def named(kind: str):
+        field, op = fields[kind]
+        return lambda v: one(kind, F.lit(field), F.lit(op), v, v)
+
+    leaf = F.trim(F.element_at(F.split(F.col(category), "›"), -1))
+    parts = [F.when(F.col(category) != "", F.array(one("category", F.lit("product.category"), F.lit("in_category"), F.col(category), leaf)))]
+    parts += [F.transform(clean_list(F.col(c)), named(kind)) for kind, c in lists.items()]
+    parts.append(F.transform(F.array_sort(F.map_entries(options)), lambda e: one("option", F.concat(F.lit("purchase.options."), e["key"]), F.lit("eq"), e["value"], e["value"])))
+    empty = F.array().cast("array<struct<kind:string,field:string,operator:string,value:string,said:string,hardness:string>>")
+    priced = F.transform(
+        price_candidates(F.col(query)),
+        lambda p: F.struct(
+            p["kind"].alias("kind"), F.lit("purchase.price").alias("field"), F.when(p["kind"] == "budget_upper", "lte").when(p["kind"] == "price_range", "between").when(p["kind"] == "price_lower", "gte").otherwise("approximately").alias("operator"),
+            F.when(p["low"] == p["high"], p["low"].cast("string")).otherwise(F.concat_ws("-", p["low"].cast("string"), p["high"].cast("string"))).alias("value"),
+            F.substring(F.col(query), p["start"] + 1, p["end"] - p["start"]).alias("said"), F.when(p["kind"] == "price_preference", "soft").otherwise("hard").alias("hardness"),
+        ),
+    )
+    found = tasks.withColumn("__all", F.concat(*[F.coalesce(x, empty) for x in parts], F.coalesce(priced, empty)))
+    each = found.select("task", F.col(query).alias("__query"), F.posexplode("__all").alias("pos", "x")).select("task", "__query", "pos", "x.*")
+    first = each.groupBy("task", "kind", "field", "operator", "value").agg(F.min("pos").alias("pos"), F.min_by("said", "pos").alias("said"), F.first("hardness").alias("hardness"), F.first("__query").alias("__query"))
+    number = F.row_number().over(Window.partitionBy("task").orderBy("pos"))
+    return first.select("task", F.format_string("c%04d", number).alias("candidate_id"), "kind", "field", "operator", "value", "hardness", exact_spans(F.col("__query"), F.col("said")).alias("spans"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quillon.operators import evaluation, ranking, statistics
@@ -203,7 +205,16 @@ _GROUPS = f"""g AS (SELECT l_orderkey AS "group", min(l_linenumber) AS first, co
 _EDGES = "unnest([-1.0, -0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS a, unnest([-0.8, -0.6, -0.4, -0.2, 0.0, 0.2, 0.4, 0.6, 0.8, 1.000001]::DOUBLE[]) AS b, unnest(range(10)) AS bin"
 _TRUNCATED = "t AS (SELECT user_id, event_type = 'error' AS g, value > 300 AS cut, lag(value > 300) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events)"
 
+_BOUNDS, _TOTAL = [], 0.0
+for _k in range(12):
+    _TOTAL += math.exp(-1) / math.factorial(_k)
+    _BOUNDS.append(_TOTAL)
+_WEIGHT = " + ".join(f"(u > {b!r})::INT" for b in _BOUNDS)
+
 ORACLES = {
+    "x3_hash_bootstrap": f"""WITH d AS (SELECT doc_id, 1 - toxic - quality AS delta, unnest(range(1, 21)) AS resample FROM labels),
+w AS (SELECT resample, delta, ('0x' || substr(sha256('7:' || resample || ':' || doc_id), 1, 13))::BIGINT / 4503599627370496 AS u FROM d)
+SELECT 'a/b' AS family, resample::INT AS resample, round(sum(({_WEIGHT}) * delta) / sum({_WEIGHT}), 9) AS mean FROM w GROUP BY resample""",
     "a2_panels": "SELECT count(*) AS n_expected, count(l.doc_id) AS n_rows, coalesce(sum(quality), 0) / count(*) AS quality_rate, coalesce(sum(toxic), 0) / count(*) AS toxic_rate, coalesce(sum(quality + toxic), 0) / count(*) AS mean_sum FROM documents d LEFT JOIN labels l USING (doc_id)",
     "a3_trajectory_metrics": """WITH m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type AS again FROM events)
 SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE event_type <> 'error') AS n_steps, count(*) FILTER (WHERE event_type = 'error') AS n_guards, count(*) FILTER (WHERE event_type = 'view') AS n_searches,
@@ -254,4 +265,4 @@ SELECT left_run, right_run, endpoint, kind, n, b, c, round(lm, 6) AS left_mean,
     "x5_adjacent_families": "SELECT * FROM (SELECT o_orderpriority AS left_run, lead(o_orderpriority) OVER (ORDER BY o_orderpriority) AS right_run FROM (SELECT DISTINCT o_orderpriority FROM orders)) WHERE right_run IS NOT NULL",
     "d20_rollout_index": "SELECT l_orderkey, l_linenumber, l_partkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS rollout FROM lineitem",
 }
-QUERIES = {name: globals()[name] for name in [*ORACLES, "x3_bootstrap", "x3_hash_bootstrap"]}
+QUERIES = {name: globals()[name] for name in [*ORACLES, "x3_bootstrap"]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import text
-from quillon.operators import gates, messages, search
+from quillon.operators import gates, goals, messages, search
 
 
 def _t(spark, sf_dir, name, *columns):
@@ -138,6 +138,28 @@ def f1_strict_success(spark, sf_dir):
     return e.select("event_id", strict.alias("strict"), infra.alias("infrastructure"), F.array_join(issues, ",").alias("issues"))
 
 
+def _trajectories(spark, sf_dir):
+    """A user's events as a trajectory: purchases buy, views and clicks are the assistant's, errors are guards'."""
+    e = _t(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value")
+    k, kind = _c("event_id"), _c("event_type")
+    own = F.struct(
+        k.alias("pos"), F.when(kind == "purchase", "environment_step").when(kind == "error", "guard_rejection").otherwise("assistant").alias("type"), F.when(kind == "purchase", "buy_now").when(k % 50 > 0, "search_products").otherwise("odd").alias("tool_name"),
+        (_c("value") > 400).alias("done"), (k % 40).cast("int").alias("n_calls"), (_c("value") < 2).alias("dropped"), F.when(k % 60 == 1, "malformed_tool_arguments").when(k % 70 == 1, "tool_arguments_not_object").alias("arguments_error"), F.when(k % 30 > 0, "other").otherwise("schema_x").alias("reason"),
+    )
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(own)).alias("events"))
+
+
+def f2_acceptance_reasons(spark, sf_dir):
+    u = _c("user_id")
+    why = gates.acceptance_reasons(u % 2 == 0, F.when(u % 3 > 0, "c"), "c", F.when(u % 5 == 0, "e"), F.when(u % 7 == 0, "r"), u % 11 > 0, _c("events"), ["search_products", "buy_now"])
+    return _trajectories(spark, sf_dir).select("user_id", F.array_join(why, ",").alias("reasons"))
+
+
+def f3_indexed_reasons(spark, sf_dir):
+    why = gates.indexed_reasons([("odd_user", _c("user_id") % 2 == 1), ("few", F.size("events") < 40)], _c("events"), {"guard": lambda m: (m["type"] == "guard_rejection") & (m["reason"] == "schema_x"), "dropped": lambda m: m["dropped"]})
+    return _trajectories(spark, sf_dir).select("user_id", F.array_join(why, ",").alias("reasons"))
+
+
 def f4_action_refusal(spark, sf_dir):
     e = _t(spark, sf_dir, "events", "event_id", "event_type")
     k = _c("event_id")
@@ -200,6 +222,18 @@ def j13_previous_observation(spark, sf_dir):
     return messages.previous_observation(c, "conv_id", "turn", "role", "text", _c("turn") % 4 == 0).select("conv_id", "turn", "observed")
 
 
+def j14_products_by(spark, sf_dir):
+    p = _t(spark, sf_dir, "part", _c("p_partkey").alias("asin"), _c("p_type").alias("category"), F.split("p_name", " ").alias("attribute"), _c("p_name").alias("query"))
+    found = [goals.products_by(p, mode, value, 3, 20).select(F.lit(mode).alias("mode"), "asin") for mode, value in (("c", "ECONOMY"), ("a", "cold"), ("q", "cold widget"), ("r", None))]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+def n33_goals(spark, sf_dir):
+    p = _t(spark, sf_dir, "part", "p_partkey", "p_name", "p_size")
+    asked = F.array(*[F.struct(F.concat(_c("p_name"), F.lit(f" 预算{k}0元")).alias("instruction"), F.when(_c("p_size") % 2 == k % 2, F.array("p_name")).otherwise(F.array().cast("array<string>")).alias("attributes"), F.array(F.lit("o")).alias("options")) for k in (1, 2, 3)])
+    return goals.goals(p.withColumn("i", asked), "p_partkey", "p_partkey", "i").select("task_id", "p_partkey", "price_upper")
+
+
 def y1_chat_rows(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations", "conv_id", "turn", "role", F.substring("text", 1, 20).alias("text"))
     out = messages.chat_rows(c, "conv_id", "turn", "role", "text", _c("role") != "system", "(end)")
@@ -280,6 +314,15 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 SELECT event_id, done AND coalesce(a, false) AND coalesce(b, false) AND coalesce(c, false) AND v AND k % 2 = 0 AND coalesce(d, false) AS strict, k % 6 = 0 OR k % 4 = 0 OR k % 9 = 0 AS infrastructure,
   concat_ws(',', CASE WHEN done AND NOT coalesce(a, false) THEN 'done_status_without_trajectory_done' END, CASE WHEN done AND NOT coalesce(b, false) THEN 'done_status_without_terminal_done' END,
     CASE WHEN done AND k % 3 = 0 THEN 'done_status_without_reward_detail' END, CASE WHEN k % 3 > 0 AND NOT v THEN 'unexpected_reward_version' END) AS issues FROM e""",
+    "f2_acceptance_reasons": """WITH t AS (SELECT user_id AS u, bool_or(event_type = 'purchase' AND value > 400) AS buy, bool_or(event_type NOT IN ('purchase', 'error') AND value < 2) AS dropped, bool_or(event_type NOT IN ('purchase', 'error') AND event_id % 40 > 1) AS several,
+  bool_or(event_type NOT IN ('purchase', 'error') AND event_id % 40 > 0 AND event_id % 50 = 0) AS odd, bool_or(event_type NOT IN ('purchase', 'error') AND event_id % 60 = 1) AS bad, bool_or(event_type NOT IN ('purchase', 'error') AND event_id % 60 <> 1 AND event_id % 70 = 1) AS flat,
+  bool_or(event_type = 'error' AND event_id % 30 = 0) AS broken FROM events GROUP BY 1)
+SELECT u AS user_id, concat_ws(',', CASE WHEN broken THEN 'damaged_tool_structure' END, CASE WHEN u % 5 = 0 THEN 'has_error' END, CASE WHEN u % 11 = 0 THEN 'lease_not_released' END, CASE WHEN bad THEN 'malformed_tool_arguments' END,
+  CASE WHEN NOT buy THEN 'missing_executed_terminal_buy' END, CASE WHEN several THEN 'multiple_tool_calls' END, CASE WHEN u % 2 > 0 THEN 'not_strict_gold' END, CASE WHEN dropped THEN 'parallel_tool_calls_dropped' END, CASE WHEN u % 7 = 0 THEN 'release_error' END,
+  CASE WHEN u % 3 = 0 THEN 'runtime_contract_mismatch' END, CASE WHEN flat THEN 'tool_arguments_not_object' END, CASE WHEN odd THEN 'unknown_tool' END) AS reasons FROM t""",
+    "f3_indexed_reasons": """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT user_id, concat_ws(',', CASE WHEN user_id % 2 = 1 THEN 'odd_user' END, CASE WHEN count(*) < 40 THEN 'few' END, string_agg('guard:' || i, ',' ORDER BY i) FILTER (WHERE event_type = 'error' AND event_id % 30 = 0),
+  string_agg('dropped:' || i, ',' ORDER BY i) FILTER (WHERE value < 2)) AS reasons FROM e GROUP BY 1""",
     "f4_action_refusal": """WITH e AS (SELECT event_id, event_id AS k, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS a FROM events)
 SELECT event_id, CASE k % 5 WHEN 0 THEN CASE WHEN a = '' THEN 'empty_query' END WHEN 1 THEN CASE WHEN a NOT IN ('view', 'click') THEN 'product_not_visible' END WHEN 2 THEN CASE WHEN k % 2 > 0 THEN 'not_a_product_page' END
   WHEN 3 THEN CASE WHEN a NOT IN ('buy now', 'signup') THEN 'target_not_available' END ELSE 'next_page_not_available' END AS why FROM e""",
@@ -300,6 +343,9 @@ UNION ALL SELECT doc_id, 'no_row' FROM l WHERE doc_id NOT IN (FROM d) UNION ALL
 SELECT task, 'classified_twice' AS problem FROM o WHERE n > 1 UNION ALL SELECT task, 'not_in_a_split' FROM o WHERE task NOT IN (FROM c) UNION ALL SELECT task, 'not_classified' FROM c WHERE task NOT IN (SELECT task FROM o)""",
     "j12_call_texts": f"WITH {_ROLES}, a AS (SELECT conv_id, call, arg_max(text, turn) AS t FROM c WHERE role = 'assistant' GROUP BY 1, 2) SELECT conv_id, turn, t AS assistant_text FROM c LEFT JOIN a USING (conv_id, call) WHERE role = 'tool'",
     "j13_previous_observation": f"WITH {_ROLES} SELECT conv_id, turn, last_value(CASE WHEN role = 'tool' AND turn % 4 <> 0 THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS observed FROM c",
+    "j14_products_by": """SELECT 'c' AS mode, p_partkey AS asin FROM part WHERE p_type = 'ECONOMY' UNION ALL SELECT 'a', p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'cold')
+UNION ALL SELECT 'q', p_partkey FROM part WHERE p_name = 'cold widget' UNION ALL SELECT 'r', p_partkey FROM (SELECT p_partkey FROM part ORDER BY sha256('3:' || p_partkey) LIMIT 20)""",
+    "n33_goals": "SELECT row_number() OVER (ORDER BY p_partkey, k) - 1 AS task_id, p_partkey, (k * 10)::DOUBLE AS price_upper FROM part, (SELECT unnest([1, 2, 3]) AS k) WHERE p_size % 2 = k % 2",
     "y1_chat_rows": """WITH m AS (SELECT conv_id, turn, role, substr(text, 1, 20) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role <> 'system')
 SELECT conv_id, string_agg(role || ':' || CASE back WHEN 1 THEN '(end)' ELSE t END, '|' ORDER BY turn) AS chat FROM m GROUP BY 1""",
     "y5_kept_suffix": """WITH c AS (SELECT conv_id, turn, turn // 2 AS pair, length(text) AS size, turn = 0 AS anchor FROM conversations),
