@@ -4,8 +4,9 @@ A token is a run of ASCII letters and non-ASCII bytes; ASCII capitals count as s
 the whole token and its first 3 to 7 bytes, hashed into one table of weights.  Token labels come from document labels: a
 feature is toxic if documents that hold it are toxic far more often than chance allows, and a token of a toxic document is
 labelled if one of its features is.  The field is fitted to these labels on stretches of the training
-documents, which hold every token with a telling feature, ``REACH`` tokens around, and ``CLEAN_STRETCHES`` places of documents without any; its
-forward-backward marginals give each token's chance to be in a toxic span, tokens above one half are the offending
+documents, which hold every token with a telling feature, ``REACH`` tokens around, and ``CLEAN_STRETCHES`` places of documents without any, by
+penalised maximum likelihood: the gradient is what was seen less what forward-backward expects, of tokens and of pairs.  The label before a
+stretch's or a text's first token is clean, in the fit and in scoring alike.  Its forward-backward marginals give each token's chance to be in a toxic span, tokens above one half are the offending
 offsets, and a logistic fit on other training documents turns sums and maxima of marginals into the document's score.
 
 The fit runs on the driver over a bounded sample: at most ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents of at most
@@ -93,28 +94,33 @@ def _pieces(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
         row = stop
 
 
-def _forward_backward(e: np.ndarray, keep: np.ndarray, chain: np.ndarray) -> np.ndarray:
-    """Chance of label 1 at every place of many short chains.  e (chains, places): evidence for label 1; keep: False past a chain's end."""
+def _forward_backward(e: np.ndarray, keep: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of label 1 at every place of many short chains, and how often each pair of labels is expected in all of them, the clean label
+    before the first place included.  e (chains, places): evidence for label 1; keep: False past a chain's end."""
     step = np.exp(chain)
     n, length = e.shape
     weight = np.exp(np.clip(e, -60, 60))
     ahead = np.empty((length, n, 2))
-    a = np.ones((n, 2))
+    first = np.tile([1.0, 0.0], (n, 1))
+    a = first
     for t in range(length):
-        b = np.stack([a[:, 0] * step[0, 0] + a[:, 1] * step[1, 0], (a[:, 0] * step[0, 1] + a[:, 1] * step[1, 1]) * weight[:, t]], 1) if t else np.stack([np.ones(n), weight[:, 0]], 1)
+        b = np.stack([a[:, 0] * step[0, 0] + a[:, 1] * step[1, 0], (a[:, 0] * step[0, 1] + a[:, 1] * step[1, 1]) * weight[:, t]], 1)
         b /= b.sum(1, keepdims=True)
         a = np.where(keep[:, t, None], b, a)
         ahead[t] = a
-    out = np.empty((n, length))
+    out, pairs = np.empty((n, length)), np.zeros((2, 2))
     back = np.ones((n, 2))
     for t in range(length - 1, -1, -1):
         p = ahead[t] * back
         out[:, t] = p[:, 1] / p.sum(1)
         w = weight[:, t]
+        on = keep[:, t]
+        joint = (ahead[t - 1] if t else first)[on, :, None] * step * (np.stack([np.ones(n), w], 1) * back)[on, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         b = np.stack([step[0, 0] * back[:, 0] + step[0, 1] * w * back[:, 1], step[1, 0] * back[:, 0] + step[1, 1] * w * back[:, 1]], 1)
         b /= b.sum(1, keepdims=True)
         back = np.where(keep[:, t, None], b, back)
-    return out
+    return out, pairs
 
 
 def marginals(evidence: np.ndarray, bounds: np.ndarray, chain: np.ndarray, block: int = BLOCK) -> np.ndarray:
@@ -141,8 +147,6 @@ def marginals(evidence: np.ndarray, bounds: np.ndarray, chain: np.ndarray, block
         nxt /= nxt.sum((1, 2), keepdims=True)
         m = np.where(keep[:, t, None, None], nxt, m)
     # What reaches each block from the left, and from the right; chains side by side, block by block.
-    start = np.array([step[0, 0] / (step[0, 0] + step[0, 1]), step[0, 1] / (step[0, 0] + step[0, 1])])
-    del start
     left = np.empty((n, 2))
     right = np.empty((n, 2))
     live = np.flatnonzero(blocks > 0)
@@ -247,22 +251,16 @@ def _fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 40, reac
     w[0] = -4.0
     chain = np.array([[0.0, 0.0], [0.0, 0.0]])
     state = [np.zeros_like(x) for x in (w, w, chain, chain)]
-    gap = keep[:, 1:]
+    before = np.concatenate([np.zeros((n, 1), np.int8), tags[:, :-1]], 1)
+    seen = np.array([[((before == i) & (tags == j) & keep).sum() for j in (0, 1)] for i in (0, 1)], float)
     for r in range(1, rounds + 1):
         own = np.where(features > 0, w[features], 0.0).sum(2) + w[0]
-        p = _forward_backward(own, keep, chain)
+        p, expected = _forward_backward(own, keep, chain)
         miss = np.where(keep, tags - p, 0.0)
         gw = np.bincount(features.ravel(), np.repeat(miss.ravel(), features.shape[2]), len(w))
         gw[0] = miss.sum()
         gw -= 0.05 * w
-        # Pairs: observed counts against the product of neighbours' marginals under the chain.
-        p0, p1 = p[:, :-1], p[:, 1:]
-        gc = np.zeros((2, 2))
-        joint = np.stack([(1 - p0) * (1 - p1) * np.exp(chain[0, 0]), (1 - p0) * p1 * np.exp(chain[0, 1]), p0 * (1 - p1) * np.exp(chain[1, 0]), p0 * p1 * np.exp(chain[1, 1])], 0)
-        joint /= joint.sum(0)
-        t0, t1 = tags[:, :-1], tags[:, 1:]
-        for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            gc[i, j] = (((t0 == i) & (t1 == j)) * gap).sum() - (joint[k] * gap).sum()
+        gc = seen - expected - 0.05 * chain
         for x, g, m, v in ((w, gw, state[0], state[1]), (chain, gc, state[2], state[3])):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -366,13 +364,11 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 if len(hit):
                     char = np.cumsum((data & 0xC0) != 0x80)  # characters up to each byte
                     of = np.searchsorted(bounds, hit, "right") - 1
-                    lengths = np.diff(bounds)
                     before = _chars_before(batch.column(1), row, n, data, char)
                     counts[row : row + n] = np.bincount(of, minlength=n)
                     starts.append(char[start[hit]] - 1 - before[of])
                     ends.append(char[end[hit] - 1] - before[of])
                     chances.append(p[hit])
-                    del lengths
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
             spans = pa.StructArray.from_arrays([flat(starts, pa.int32()), flat(ends, pa.int32()), flat(chances, pa.float64())], ["start", "end", "chance"])

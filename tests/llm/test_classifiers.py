@@ -4,12 +4,13 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import quality_classifier, queries, toxicity
 
 
 
-few = pytest.mark.xfail(reason="too few toxic documents to learn from at sf0.01: 98 of 113 held-out ones right (README)")
+few = pytest.mark.xfail(strict=True, reason="too few toxic documents to learn from at sf0.01 (README)")
 
 
 @pytest.mark.parametrize(
@@ -42,6 +43,7 @@ def test_without_two_labels_scores_are_constant(spark, docs, given, wanted):
 
 
 def test_few_labels(spark, docs):
+    docs = docs.withColumn("source", F.repeat("source", 500))
     labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
     scores = [r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, labels, grow=1)).collect()]
     assert len(scores) == 5 and all(0 <= s <= 1 for s in scores)
