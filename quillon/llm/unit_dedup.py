@@ -53,7 +53,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, min_passage:
     place = F.struct("id", "th", "i")
     origin = near.groupBy("h", "g").agg(F.min(place).alias("origin"), F.max(place).alias("last")).where(~F.col("origin").eqNullSafe(F.col("last"))).drop("last")
     repeats = near.join(origin, ["h", "g"]).where(~place.eqNullSafe(F.col("origin"))).select("id", "th", "q", "i", "words")
-    repeats = repeats.distinct()  # rows with the same id and text
+    # Rows with the same id and text make one set, before the shuffle; what follows stays where it is.
+    repeats = repeats.groupBy("id", "th").agg(F.collect_set(F.struct("q", "i", "words")).alias("r")).select("id", "th", F.explode("r").alias("r")).select("id", "th", "r.*")
     passages = repeats.withColumn("island", F.col("q") - F.row_number().over(Window.partitionBy("id", "th").orderBy("q")))
     passages = passages.groupBy("id", "th", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.sum("words").alias("words")).where(F.col("words") >= min_passage)
     return passages.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("passages"))
