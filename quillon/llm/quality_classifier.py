@@ -12,6 +12,8 @@ hashes of their ids, and ``2 * grow`` pseudo-labelled ones a view and round.  Th
 documents: each gets its odds in both views, which are written without texts, and only the chosen ones' features travel.
 Tasks get tables of weights of fixed size.  The final scores are one pass without a shuffle.
 
+Where a quarter of the labelled rows has not both labels, all of them serve for the fit and for the calibration.
+
 Defined results: a null text counts as empty and null metadata as a value of its own, and both are scored like any other; documents
 labelled by null or anything but 0 and 1 are unlabelled; with no labelled rows, or one label only, every score is that
 label's share (0.5 without any); repeated rows are scored each for itself and count once as pseudo-labels; ties among sure documents go to the smaller

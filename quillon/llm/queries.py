@@ -53,6 +53,18 @@ FROM f
 """
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy v1 rejects, alone and with others, from the ledger's masks."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), "v1")
+
+
+_ABLATIONS_SQL = f"""
+WITH ledger AS ({_OP2_SQL.strip()}), m AS (SELECT failed_mask & 51 AS mask FROM ledger),
+r AS (SELECT unnest(['few_words', 'repeated_windows', 'symbols', 'repeated_lines']) AS rule, unnest([1, 2, 16, 32]) AS bit)
+SELECT rule, count(*) FILTER (WHERE mask & bit <> 0) AS rejected, count(*) FILTER (WHERE mask = bit) AS only_rule, count(*) FILTER (WHERE mask & (51 - bit) <> 0) AS without_rule FROM r, m GROUP BY rule
+"""
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -208,10 +220,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_topk_search": op7_topk_search,
     "op8_near_dedup": op8_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_ablations": quality_ablations,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _OP2_SQL,
+    "quality_ablations": _ABLATIONS_SQL,
     "op5_line_dedup": _OP5_SQL,
     "op7_topk_search": _OP7_SQL,
     "op8_near_dedup": _OP8_SQL,
