@@ -11,8 +11,8 @@ No piece of the vocabulary crosses from a character into a space mark (checked w
 falls apart into words, and the n best of a text come from its words' losses: only the n - 1 words that lose least by their
 second best segmentation can take part.  So every distinct word gets the forward pass, which keeps the two best scores of every
 place, and these few words of a text get the search.  The forward pass runs over all new words of a batch side by side, place by
-place, on arrays; its results are kept in a memory of fixed size.  A word of more than ``_LONG`` characters
-goes through the same pass alone, with a score and a back pointer for every place and no stored edges.
+place, on arrays; its results are kept in arrays by the word's number, in a memory of bounded size.  A word of more than ``_LONG``
+characters goes through the same pass alone, with a score and a back pointer for every place and no stored edges.
 
 Scores are those of the vocabulary.  In a model whose scores are merge ranks the best segmentation need not be that of
 the merges; all n decode to the same text.
@@ -29,6 +29,7 @@ import re
 from array import array
 from bisect import insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,14 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the smallest score of a piece
-_CACHED, _CACHED_CHARS = 200_000, 64
+#: Words and their characters that the memory holds; what a call brings with it comes on top until the next one.
+_HELD, _HELD_CHARS = 200_000, 4_000_000
+#: Words whose search is remembered, if they are no longer than _LONG.
+_SEARCHED = 20_000
 #: Characters of a word in the side by side pass at most, and of all new words of one such pass about.
-_LONG, _TOGETHER = 64, 400_000
+_LONG, _TOGETHER = 64, 150_000
 #: Characters of the texts whose words are learnt together.
-_TEXTS = 2_000_000
+_TEXTS = 1_000_000
 _OUT = 4 << 20
 _DECODED = 1 << 18
 #: A word: its best score, what its second segmentation loses (infinite without one), the ids of the best as bytes of 32-bit integers.
@@ -97,6 +101,51 @@ class Trie:
         return out
 
 
+class Numbers(dict[str, int]):
+    """Words numbered as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class Memory:
+    """What is known of words, by number: the best score, the loss of the second and the ids of the best."""
+
+    def __init__(self) -> None:
+        self.numbers = Numbers()
+        self.times = np.zeros(0, np.int64)
+        self.top, self.loss = np.zeros(0), np.zeros(0)
+        self.size, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self.characters = 0
+
+    def add(self, words: list[str], top: np.ndarray, loss: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Results of the words that follow in number."""
+        self.top, self.loss, self.size = np.append(self.top, top), np.append(self.loss, loss), np.append(self.size, size)
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
+        self.ids = np.append(self.ids, ids)
+        self.times = np.append(self.times, np.zeros(len(words), np.int64))
+        self.characters += sum(map(len, words))
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, one after another."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.at[numbers] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def kept(self) -> Memory:
+        """A memory of the words met most often, at least twice, up to half of what a memory holds."""
+        out, words = Memory(), list(self.numbers)
+        most = np.argsort(-self.times, kind="stable")[: _HELD // 2]
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        most = most[(self.times[most] > 1) & (np.cumsum(lengths[most]) <= _HELD_CHARS // 2)]
+        own = [words[k] for k in most.tolist()]
+        out.numbers.update(zip(own, range(len(own)), strict=True))
+        out.add(own, self.top[most], self.loss[most], self.size[most], self.joined(most))
+        return out
+
+
 class Segmenter:
     def __init__(self, model_file: str | None, n: int, processor=None):
         if processor is None:
@@ -118,19 +167,16 @@ class Segmenter:
         # The state after those of the trie stands for a character that is no piece.
         self.score_of = np.append(self.trie.score, self.unknown)
         self.piece_of = np.append(self.trie.piece, -1)
-        self.characters = [len(name) for name in names]
         self.unknown_id = processor.unk_id()
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if processor.is_byte(i)}
         self.text_of = [b"" if processor.is_control(i) else bytes([int(names[i][3:5], 16)]) if processor.is_byte(i) else names[i].encode() for i in range(size)]
-        self._new: dict[str, Word] = {}
-        self._old: dict[str, Word] = {}
-        # For decoding many ids at once: every id's text with spaces for space marks, one after another.
+        self.memory = Memory()
+        self._searches: dict[str, Best] = {}
+        # For decoding many ids at once: every id's text with spaces for space marks, then all again without a first space.
         shown = [t.replace(SPACE.encode(), b" ") for t in self.text_of]
-        self.shown = np.frombuffer(b"".join(shown), np.uint8)
-        self.shown_size = np.array([len(t) for t in shown], np.int64)
-        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
-        self.spaced = np.array([t.startswith(b" ") for t in shown])
-        self.odd = np.array([processor.is_byte(i) or processor.is_control(i) for i in range(size)])
+        self.shown = pa.array(shown + [t.removeprefix(b" ") for t in shown], pa.binary())
+        self.control = np.array([processor.is_control(i) for i in range(size)])
+        self.byte = np.array([processor.is_byte(i) for i in range(size)])
 
     def _ending(self, word: str, stop: int) -> list[tuple[int, float, int | None]]:
         """(start, score, id) of the edges that end at stop, from the smallest start on; id None for an unknown character."""
@@ -218,120 +264,129 @@ class Segmenter:
         return ahead[-1], ahead[-1] - second, ids.tobytes()
 
     def _together(self, words: list[str]) -> list[Word]:
-        """By the forward pass over many words side by side, place by place."""
-        lengths = np.array([len(w) for w in words])
+        """By the forward pass over many words side by side."""
+        top, loss, size, ids = self._pass(words)
+        data, ends = ids.tobytes(), 4 * np.cumsum(size)
+        return [(t, x, data[a:b]) for t, x, a, b in zip(top.tolist(), loss.tolist(), (ends - 4 * size).tolist(), ends.tolist(), strict=True)]
+
+    def _pass(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The forward pass over many words side by side, place by place: their best scores, losses, numbers of ids, and all ids."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         # The places of a word are numbered one after another, one more than it has characters.
         first = np.cumsum(lengths + 1) - lengths - 1
-        place = np.repeat(first, lengths) + np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(chars))  # characters to the word's end
-        start, stop, state = [], [], []
+        within = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        place = np.repeat(first, lengths) + within
+        left = np.repeat(lengths, lengths) - within  # characters to the word's end
+        # An edge is one number, so that sorting puts it in order: the end within its word, the end, the start, the state.
+        for_state, for_depth, for_place = ((n).bit_length() for n in (len(self.trie.piece), int(lengths.max()), len(chars) + len(words)))
+        keys = []
+
+        def edges(at: np.ndarray, depth: int, state: np.ndarray | int) -> None:
+            end = (within[at] + depth) << for_place | (place[at] + depth)
+            keys.append((end << for_depth | (1 << for_depth) - 1 - depth) << for_state | state)
+
         on, now = np.arange(len(chars)), np.zeros(len(chars), np.int64)
         whole = np.zeros(len(chars), bool)  # whether the character is a piece
         for depth in range(1, self.longest + 1):
             now = self.trie.step(now, chars[on + depth - 1])
-            on, now = on[now >= 0], now[now >= 0]
+            going = now >= 0
+            on, now = on[going], now[going]
             is_piece = self.trie.piece[now] >= 0
             if depth == 1:
                 whole[on[is_piece]] = True
-            start.append(place[on[is_piece]])
-            stop.append(place[on[is_piece]] + depth)
-            state.append(now[is_piece])
+            edges(on[is_piece], depth, now[is_piece])
             more = left[on] > depth
             on, now = on[more], now[more]
             if not len(on):
                 break
-        start.append(place[~whole])
-        stop.append(place[~whole] + 1)
-        state.append(np.full(len(start[-1]), len(self.trie.piece)))
-        start, stop, state = np.concatenate(start), np.concatenate(stop), np.concatenate(state)
-        word_of = np.repeat(np.arange(len(words)), lengths + 1)
-        within = stop - first[word_of[stop]]
-        order = np.lexsort((start, stop, within))
-        start, stop, state, within = start[order], stop[order], state[order], within[order]
+        edges(np.flatnonzero(~whole), 1, len(self.trie.piece))
+        key = np.concatenate(keys)
+        key.sort()
+        state = key & (1 << for_state) - 1
+        key >>= for_state
+        depth = (1 << for_depth) - 1 - (key & (1 << for_depth) - 1)
+        key >>= for_depth
+        stop = key & (1 << for_place) - 1
+        key >>= for_place
+        start = stop - depth
         score = self.score_of[state]
-        ahead, second = np.full(len(word_of), -np.inf), np.full(len(word_of), -np.inf)
+        ahead, second = np.full(len(chars) + len(words), -np.inf), np.full(len(chars) + len(words), -np.inf)
         ahead[first] = 0.0
-        back = np.zeros(len(word_of), np.int64)
-        cuts = np.searchsorted(within, np.arange(1, int(lengths.max()) + 2))
+        back = np.zeros(len(ahead), np.int64)
+        cuts = np.searchsorted(key, np.arange(1, int(lengths.max()) + 2))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all edges that end at one place of their words
             if a == b:
                 continue
             ends = stop[a:b]
-            new = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            begins = np.concatenate([[True], ends[1:] != ends[:-1]])
+            new = np.flatnonzero(begins)
             through = ahead[start[a:b]] + score[a:b]
             top = np.maximum.reduceat(through, new)
-            group = np.cumsum(np.concatenate([[False], ends[1:] != ends[:-1]]))
-            best = np.flatnonzero(through == top[group])
-            best = best[np.concatenate([[True], group[best[1:]] != group[best[:-1]]])]  # the first of equals
+            best = np.flatnonzero(through == np.repeat(top, np.diff(new, append=b - a)))
+            group = (np.cumsum(begins) - 1)[best]
+            best = best[np.concatenate([[True], group[1:] != group[:-1]])]  # the first of equals
             ahead[ends[new]], back[ends[new]] = top, a + best
             through[best] = -np.inf
-            second[ends[new]] = np.maximum(np.maximum.reduceat(through, new), np.maximum.reduceat(second[start[a:b]] + score[a:b], new))
+            np.maximum(through, second[start[a:b]] + score[a:b], out=through)
+            second[ends[new]] = np.maximum.reduceat(through, new)
         # The best paths, from the ends back.
         at, live, steps = first + lengths, np.flatnonzero(lengths > 0), []
         while len(live):
             edge = back[at[live]]
-            steps.append((live, self.piece_of[state[edge]]))
+            steps.append((live, self.piece_of[state[edge]], start[edge]))
             at[live] = start[edge]
             live = live[at[live] > first[live]]
-        owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
-        piece = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
+        owner, piece, start = (np.concatenate([x[k] for x in steps[::-1]] or [np.zeros(0, np.int64)]) for k in range(3))
         order = np.argsort(owner, kind="stable")
-        piece = piece[order].astype(np.int32)
-        data = piece.tobytes()
-        odd = np.bincount(owner[order], piece < 0, minlength=len(words)) > 0
-        ends = 4 * np.cumsum(np.bincount(owner, minlength=len(words)))
+        owner, piece, start = owner[order], piece[order], start[order]
+        # Those below 0 stand for a character each, which is written out.
+        odd, size = np.flatnonzero(piece < 0), np.ones(len(piece), np.int64)
+        if len(odd):
+            which, of = np.unique(chars[start[odd] - owner[odd]], return_inverse=True)
+            spelt = [self._spelt(chr(c)) for c in which.tolist()]
+            size[odd] = np.array([len(x) for x in spelt])[of]
+            piece, at = np.repeat(piece, size), (np.cumsum(size) - size)[odd]
+            for k in range(max(map(len, spelt))):
+                some = size[odd] > k
+                piece[at[some] + k] = np.array([x[k] if k < len(x) else -1 for x in spelt])[of[some]]
         tops = ahead[first + lengths]
         with np.errstate(invalid="ignore"):
             losses = tops - second[first + lengths]
-        out, begin = [], 0
-        for w, unknown, top, loss, end in zip(words, odd.tolist(), tops.tolist(), losses.tolist(), ends.tolist(), strict=True):
-            out.append((top, loss, self._spelt(w, piece[begin // 4 : end // 4]) if unknown else data[begin:end]))
-            begin = end
-        return out
+        return tops, losses, np.bincount(owner, size, minlength=len(words)).astype(np.int64), piece.astype(np.int32)
 
-    def _spelt(self, word: str, pieces: np.ndarray) -> bytes:
-        """pieces with those below 0, which stand for a character each, written out."""
-        ids, at = array("i"), 0
-        for p in pieces.tolist():
-            stop = at + (self.characters[p] if p >= 0 else 1)
-            self._put(ids, word[at:stop], p if p >= 0 else None)
-            at = stop
-        return ids.tobytes()
-
-    def learn(self, words: list[str]) -> dict[str, Word]:
-        """Every distinct word of words, from the memory or by the forward pass."""
-        out: dict[str, Word] = {}
-        new: list[str] = []
-        for w in dict.fromkeys(words):
-            found = self._new.get(w)
-            if found is None:
-                found = self._old.get(w)
-                if found is None:
-                    if len(w) <= _LONG:
-                        new.append(w)
-                        continue
-                    found = self._alone(w)
-                self._remember(w, found)
-            out[w] = found
-        at = 0
+    def _spelt(self, character: str) -> list[int]:
+        """The ids of a character that is no piece."""
+        ids = array("i")
+        self._put(ids, character, None)
+        return ids.tolist()
+
+    def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers that the memory has for the words of each text; those that it doesn't hold get the forward pass."""
+        if len(self.memory.numbers) >= _HELD or self.memory.characters >= _HELD_CHARS:
+            self.memory = self.memory.kept()
+        numbers, held = self.memory.numbers, len(self.memory.numbers)
+        out = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in texts]
+        new = list(islice(numbers, held, None))
+        found, at = [], 0
         while at < len(new):
+            if len(new[at]) > _LONG:
+                top, loss, ids = self._alone(new[at])
+                found.append((np.array([top]), np.array([loss]), np.array([len(ids) // 4]), np.frombuffer(ids, np.int32)))
+                at += 1
+                continue
             stop, size = at, 0
-            while stop < len(new) and size < _TOGETHER:
+            while stop < len(new) and size < _TOGETHER and len(new[stop]) <= _LONG:
                 size += len(new[stop])
                 stop += 1
-            for w, found in zip(new[at:stop], self._together(new[at:stop]), strict=True):
-                out[w] = found
-                self._remember(w, found)
+            found.append(self._pass(new[at:stop]))
             at = stop
+        if found:
+            self.memory.add(new, *map(np.concatenate, zip(*found, strict=True)))
+        if out:
+            self.memory.times += np.bincount(np.concatenate(out), minlength=len(self.memory.times))
         return out
 
-    def _remember(self, word: str, found: Word) -> None:
-        if len(word) <= _CACHED_CHARS:
-            if len(self._new) >= _CACHED:
-                self._old, self._new = self._new, {}
-            self._new[word] = found
-
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
         """(score, ids) of the n best segmentations, best first."""
         return next(self.encode_many([text]))
@@ -339,25 +394,41 @@ class Segmenter:
     def encode_many(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """encode of each text; new words of all of them are learnt together."""
         split = [_WORD.findall(self.processor.normalize(text)) if text else [] for text in texts]
-        known = self.learn([w for words in split for w in words])
-        for words in split:
-            yield self._nbest(words, [known[w] for w in words])
-
-    def _nbest(self, texts: list[str], words: list[Word]) -> list[tuple[float, np.ndarray]]:
-        best = [w[2] for w in words]
-        top = float(sum([w[0] for w in words]))
-        out = [(top, _joined(best))]
+        numbers, memory = self.learn(split), self.memory
+        for words, own in zip(split, numbers, strict=True):
+            yield self._nbest(words, own, memory)
+
+    def _nbest(self, words: list[str], numbers: np.ndarray, memory: Memory) -> list[tuple[float, np.ndarray]]:
+        top, best = float(memory.top[numbers].sum()), memory.joined(numbers)
+        out = [(top, best)]
         if self.n > 1 and words:
-            losses = np.array([w[1] for w in words])
-            least = [k for k in np.argsort(losses, kind="stable")[: self.n - 1].tolist() if np.isfinite(losses[k])]
-            searched = {k: self.search(texts[k]) for k in least}
+            losses = memory.loss[numbers]
+            if self.n - 1 < len(words):
+                near = np.flatnonzero(losses <= np.partition(losses, self.n - 2)[self.n - 2])
+            else:
+                near = np.arange(len(words))
+            least = [k for k in near[np.argsort(losses[near], kind="stable")[: self.n - 1]].tolist() if np.isfinite(losses[k])]
+            searched = {k: self._searched(words[k]) for k in least}
+            ends = np.cumsum(memory.size[numbers])
             for loss, taken in self._combine(searched):
-                parts = best.copy()
-                for k, r in taken:
-                    parts[k] = searched[k][r][1]
-                out.append((top - loss, _joined(parts)))
+                parts, done = [], 0
+                for k, r in sorted(taken):
+                    end = int(ends[k])
+                    parts += [best[done : end - memory.size[numbers[k]]], np.frombuffer(searched[k][r][1], np.int32)]
+                    done = end
+                out.append((top - loss, np.concatenate([*parts, best[done:]])))
         return out
 
+    def _searched(self, word: str) -> Best:
+        found = self._searches.get(word)
+        if found is None:
+            found = self.search(word)
+            if len(word) <= _LONG:
+                if len(self._searches) >= _SEARCHED:
+                    self._searches.clear()
+                self._searches[word] = found
+        return found
+
     def _combine(self, searched: dict[int, Best]) -> list[tuple[float, list[tuple[int, int]]]]:
         """The n - 1 smallest losses but none, of choices of a segmentation for some of the words: (loss, [(word, rank)])."""
         sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
@@ -371,33 +442,39 @@ class Segmenter:
         text = data.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
-
     def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
         """The texts of many segmentations; the k-th has the ids bounds[k] to bounds[k + 1]."""
-        size, at, n = self.shown_size[ids], self.shown_at[ids], len(bounds) - 1
         some = np.flatnonzero(np.diff(bounds) > 0)
-        first = bounds[some]
-        first = first[self.spaced[ids[first]]]
-        size[first] -= 1
-        at[first] += 1
-        ends = np.concatenate([[0], np.cumsum(size)])
-        data = self.shown[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
-        out = pa.StringArray.from_buffers(n, pa.py_buffer(ends[bounds].astype(np.int32)), pa.py_buffer(data))
-        odd = np.concatenate([[0], np.cumsum(self.odd[ids])])[bounds]
-        odd = np.flatnonzero(np.diff(odd))
-        if not len(odd):
+        shown = ids.astype(np.int64)
+        shown[bounds[some]] += len(self.text_of)
+        _, offsets, data = self.shown.take(pa.array(shown)).buffers()
+        offsets = np.frombuffer(offsets, np.int32, len(ids) + 1)
+        out = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets[bounds]), data)
+        odd = self.control[ids]
+        if self.byte[ids].any() and (not _valid(out) or pc.any(pc.match_substring(out, SPACE)).as_py()):
+            odd = odd | self.byte[ids]
+        if not odd.any():
             return out
-        texts = {k: self.decode(ids[bounds[k] : bounds[k + 1]]) for k in odd.tolist()}
-        view = np.frombuffer(data, np.uint8)
-        return pa.array([texts[k] if k in texts else view[ends[bounds[k]] : ends[bounds[k + 1]]].tobytes().decode() for k in range(n)], pa.string())
+        odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds]) > 0
+        return pa.array([self.decode(ids[bounds[k] : bounds[k + 1]]) if odd[k] else out[k].as_py() for k in range(len(out))], pa.string())
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """decode_many of lists of ids; null lists give null texts."""
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        texts = self.decode_many(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]))
+        return pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string())) if lists.null_count else texts
 
-def _by_score(edge: tuple) -> float:
-    return -edge[0]
 
+def _valid(texts: pa.Array) -> bool:
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        return False
+    return True
 
-def _joined(parts: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.int32)
+
+def _by_score(edge: tuple) -> float:
+    return -edge[0]
 
 
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -410,8 +487,9 @@ def segmenter(model_file: str, n: int) -> Segmenter:
     return _models[model_file, n]
 
 
-def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each of a text's n best segmentations: the id column, rank (from 1), score, ids."""
+def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str = "doc_id", text_column: str = "text", decoded: str | None = None) -> DataFrame:
+    """A row for each of a text's n best segmentations: the id column, rank (from 1), score, ids; and, in a column called as decoded
+    says, the text that decode_ids makes of these ids, without their way through another worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(model_file, n)
@@ -422,7 +500,9 @@ def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str =
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
-                return pa.RecordBatch.from_arrays(columns, names=[id_column, "rank", "score", "ids"])
+                if decoded:
+                    columns.append(own.decode_lists(columns[-1]))
+                return pa.RecordBatch.from_arrays(columns, names=[id_column, "rank", "score", "ids", *([decoded] if decoded else [])])
 
             characters = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
@@ -443,7 +523,7 @@ def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str =
                 yield full()
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, rank int, score double, ids array<int>")
+    return docs.select(F.col(id_column), F.col(text_column)).mapInArrow(run, f"`{id_column}` {kind}, rank int, score double, ids array<int>" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, model_file: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
@@ -454,15 +534,11 @@ def decode_ids(encoded: DataFrame, model_file: str, ids_column: str = "ids", tex
         own = segmenter(model_file, 1)
         for batch in batches:
             lists = batch.column(len(kept))
-            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            at, ends = 0, np.cumsum(lengths)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _DECODED, "right")))
-                part = lists.slice(at, stop - at)
-                bounds = np.concatenate([[0], np.cumsum(lengths[at:stop])])
-                texts = own.decode_many(part.flatten().to_numpy(zero_copy_only=False), bounds)
-                if part.null_count:
-                    texts = pc.if_else(part.is_valid(), texts, pa.scalar(None, pa.string()))
+                texts = own.decode_lists(lists.slice(at, stop - at))
                 yield pa.RecordBatch.from_arrays([*[c.slice(at, stop - at) for c in batch.columns[:-1]], texts], names=[*kept, text_column])
                 at = stop
 
