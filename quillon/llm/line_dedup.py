@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 
 WINDOW, LONG_LINE = 3, 5
 _SPACES = "' \\t\\n\\u000b\\f\\r'"
-_RUN = "'[\\\\x20\\\\x09-\\\\x0D]+'"
+_SPACE, _WORD = r"[\\x20\\x09-\\x0D]", r"[^\\x20\\x09-\\x0D]"
+
+
+#: Words of a line counted by one pattern at most; Java's matcher takes stack for each.
+_COUNTED = 100
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -43,22 +47,31 @@ def _keys(id_column: str, text_column: str) -> list[Column]:
     return [F.col(id_column).alias("id"), F.xxhash64(F.col(text_column)).alias("th")]
 
 
+def _has_words(stripped: str, n: int) -> str:
+    """Whether the line l, which holds a word, holds n or more."""
+    if n > _COUNTED:
+        return f"size(split({stripped}, '{_SPACE}+', {n})) >= {n}"
+    return f"l rlike '^{_SPACE}*+(?:{_WORD}++{_SPACE}++){{{max(n, 1) - 1}}}{_WORD}'"
+
+
 def _places(docs: DataFrame, window: int, long_line: int, id_column: str, text_column: str) -> DataFrame:
     """A row for each selected line: id and th (the document), p (its number among the lines with a word), mark (its hash),
     long, around (other hashes of the lines from window - 1 before it to window - 1 after it, null beyond the ends)."""
     out = docs.select(*_keys(id_column, text_column), F.split(F.col(text_column), "\n", -1).alias("lines"))
     stripped = f"trim(BOTH {_SPACES} FROM l)"
-    is_long = f"size(split({stripped}, {_RUN}, -1)) >= {int(long_line)}" if window > 1 else "true"
+    is_long = _has_words(stripped, int(long_line)) if window > 1 else "true"
     out = out.withColumn("held", F.expr(f"transform(filter(lines, l -> {stripped} <> ''), l -> struct(xxhash64(l) as h, hash(l) as g, {is_long} as long))"))
-    out = out.where(F.size("held") > 0).select("id", "th", "held")
+    # A filter on held, or the one that Spark adds to explode, would be moved below it and cut every text a second and third time:
+    # explode_outer and a filter on p give the same rows.
+    out = out.select("id", "th", "held")
     if window > 1:
         hashes = ", ".join(f"get(held, p + {k}).h" for k in range(window - 1, -1, -1))
         minima = f"if(size(held) < {window}, cast(array() as array<int>), transform(sequence(0, size(held) - {window}), p -> p + {window} - cast(array_position(array({hashes}), least({hashes})) as int)))"
         longs = "filter(transform(held, (x, k) -> if(x.long, k, null)), k -> k is not null)"
-        out = out.select("id", "th", "held", F.explode(F.expr(f"array_distinct(concat({minima}, {longs}))")).alias("p"))
+        out = out.select("id", "th", "held", F.explode_outer(F.expr(f"array_distinct(concat({minima}, {longs}))")).alias("p")).where("p is not null")
         around = ", ".join(f"if(p + {k} < 0, null, get(held, p + {k}).g)" for k in range(1 - window, window))
         return out.select("id", "th", "p", F.expr("get(held, p).h").alias("mark"), F.expr("get(held, p).long").alias("long"), F.expr(f"array({around})").alias("around"))
-    out = out.select("id", "th", F.posexplode("held").alias("p", "x"))
+    out = out.select("id", "th", F.posexplode_outer("held").alias("p", "x")).where("p is not null")
     return out.select("id", "th", "p", F.col("x.h").alias("mark"), F.lit(True).alias("long"), F.array("x.g").alias("around"))
 
 
@@ -78,7 +91,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_L
     shared = places.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     near = places.join(shared, "mark")
     place = F.struct("id", "th", "p")
-    first = near.groupBy("mark").agg(F.min(F.struct("id", "th", "p", "around")).alias("first"))
+    # All columns of near, so that both uses of it have one shuffle.
+    first = near.groupBy("mark").agg(F.min(F.struct("id", "th", "p", "around", "long")).alias("first"))
     later = near.join(first, "mark").where(~(F.struct("id", "th", "p").eqNullSafe(F.struct("first.id", "first.th", "first.p"))))
     centre = window - 1
     later = later.withColumn("same", F.expr(f"around[{centre}] = first.around[{centre}]"))
