@@ -56,7 +56,8 @@ def _has_words(stripped: str, n: int) -> str:
 
 def _places(docs: DataFrame, window: int, long_line: int, id_column: str, text_column: str) -> DataFrame:
     """A row for each selected line: id and th (the document), p (its number among the lines with a word), mark (its hash),
-    long, around (other hashes of the lines from window - 1 before it to window - 1 after it, null beyond the ends)."""
+    around (other hashes of the lines from window - 1 before it to window - 1 after it, null beyond the ends; then 1 if the line
+    is long, else 0: as a column of its own it would be left out where it isn't used, and uses of a row would be shuffled apart)."""
     out = docs.select(*_keys(id_column, text_column), F.split(F.col(text_column), "\n", -1).alias("lines"))
     stripped = f"trim(BOTH {_SPACES} FROM l)"
     is_long = _has_words(stripped, int(long_line)) if window > 1 else "true"
@@ -70,9 +71,9 @@ def _places(docs: DataFrame, window: int, long_line: int, id_column: str, text_c
         longs = "filter(transform(held, (x, k) -> if(x.long, k, null)), k -> k is not null)"
         out = out.select("id", "th", "held", F.explode_outer(F.expr(f"array_distinct(concat({minima}, {longs}))")).alias("p")).where("p is not null")
         around = ", ".join(f"if(p + {k} < 0, null, get(held, p + {k}).g)" for k in range(1 - window, window))
-        return out.select("id", "th", "p", F.expr("get(held, p).h").alias("mark"), F.expr("get(held, p).long").alias("long"), F.expr(f"array({around})").alias("around"))
+        return out.select("id", "th", "p", F.expr("get(held, p).h").alias("mark"), F.expr(f"array({around}, int(get(held, p).long))").alias("around"))
     out = out.select("id", "th", F.posexplode_outer("held").alias("p", "x")).where("p is not null")
-    return out.select("id", "th", "p", F.col("x.h").alias("mark"), F.lit(True).alias("long"), F.array("x.g").alias("around"))
+    return out.select("id", "th", "p", F.col("x.h").alias("mark"), F.array("x.g", F.lit(1)).alias("around"))
 
 
 def _agreeing(window: int, step: int) -> str:
@@ -91,13 +92,12 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_L
     shared = places.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     near = places.join(shared, "mark")
     place = F.struct("id", "th", "p")
-    # All columns of near, so that both uses of it have one shuffle.
-    first = near.groupBy("mark").agg(F.min(F.struct("id", "th", "p", "around", "long")).alias("first"))
+    first = near.groupBy("mark").agg(F.min(F.struct("id", "th", "p", "around")).alias("first"))
     later = near.join(first, "mark").where(~(F.struct("id", "th", "p").eqNullSafe(F.struct("first.id", "first.th", "first.p"))))
     centre = window - 1
     later = later.withColumn("same", F.expr(f"around[{centre}] = first.around[{centre}]"))
     later = later.withColumn("l", F.expr(f"if(same, {_agreeing(window, -1)}, 0)")).withColumn("r", F.expr(f"if(same, {_agreeing(window, 1)}, 0)"))
-    run = F.expr(f"if(same and 1 + l + r >= {window}, struct(p - l as a, p + r as b), if(same and long, struct(p as a, p as b), null))")
+    run = F.expr(f"if(same and 1 + l + r >= {window}, struct(p - l as a, p + r as b), if(same and around[{2 * window - 1}] = 1, struct(p as a, p as b), null))")
     runs = later.select("id", "th", run.alias("run")).where("run is not null")
     if window > 1:
         # Windows that differ from the first place's, by their lines.

@@ -17,10 +17,10 @@ def test_texts_are_cut_once_a_pass(spark, window):
 
 
 def test_lines_are_shuffled_once_and_their_marks_once(spark):
-    docs = spark.createDataFrame([(k, "one two three four five\nx\ny") for k in range(3)], "doc_id long, text string")
+    texts = ["one two three four five\nx\ny\nz"] * 2 + ["one two three four five\nu\nv\nw"] * 2 + [f"one two three four five\n{k}" for k in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = line_dedup.repeated_runs(docs)
-    assert found.count() == 2
-    found.collect()
+    assert len(found.collect()) == 12
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("split(text") == 2
@@ -29,6 +29,6 @@ def test_lines_are_shuffled_once_and_their_marks_once(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 100, 101, 150, 151, 3000])
 def test_long_lines(spark, n):
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(LINES)] + [(99, None)], "doc_id long, text string")
-    got = {r.id for r in line_dedup._places(docs, 2, n, "doc_id", "text").collect() if r.long}
+    got = {r.id for r in line_dedup._places(docs, 2, n, "doc_id", "text").collect() if r.around[-1]}
     words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in LINES]
     assert got == {k for k, w in enumerate(words) if w and w >= n}
