@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     sequence_tokens (used) and padded (the sequence's length with padding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode_all = encoder(tokenizer).encode_all
         packer, numbers = Packer(capacity, least), itertools.count(TaskContext.get().partitionId() << 32)
         rows: list[tuple] = []
         size = 0
@@ -121,12 +121,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = encode(text)
-                    for sequence in packer.add(key, np.append(own, own.dtype.type(end_id))):
-                        size += put(sequence)
+            for key, own in zip(batch.column(0).to_pylist(), encode_all(batch.column(1)), strict=True):
+                for sequence in packer.add(key, np.append(own, own.dtype.type(end_id))):
+                    size += put(sequence)
                 if size >= _OUT_BYTES:
                     yield flush()
                     size = 0

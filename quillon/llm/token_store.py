@@ -89,7 +89,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = encoder(tokenizer)
-        end = np.array([end_id], held.type)
+        end = np.array([end_id], held.type).tobytes()
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(sent.value)).compress
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tokens"
@@ -98,15 +98,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
         for batch in batches:
             kind = batch.schema.field(0).type
             out = out or store.open_output_stream(f"{base}/{name}")
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids += part.column(0).to_pylist()
-                for text in part.column(1).to_pylist():
-                    own = np.concatenate([held.encode(text), end])
-                    frame = compress(own.tobytes())
-                    out.write(frame)
-                    tokens.append(len(own))
-                    sizes.append(len(frame))
+            ids += batch.column(0).to_pylist()
+            for own in held.encode_all(batch.column(1)):
+                frame = compress(own.tobytes() + end)
+                out.write(frame)
+                tokens.append(len(own) + 1)
+                sizes.append(len(frame))
         if not ids:
             return
         offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])

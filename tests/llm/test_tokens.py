@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quillon.llm import packing, queries, token_store
+from quillon.llm import packing, queries, token_store, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +98,26 @@ def test_a_bin_of_a_class_takes_a_fixed_number():
     own = packing.Packer(512, 32)
     done = [s for k in range(200) for s in own.add(k, np.zeros(16 + k % 16, np.uint16))]
     assert done and all(len(s) == 512 // len(s[0][2]) and len({512 // len(p[2]) for p in s}) == 1 for s in done)
+
+
+def test_words_of_texts_side_by_side(monkeypatch):
+    """Ids of odd texts, taken side by side and in slices, are the library's; what is made of known words isn't encoded again."""
+    r = random.Random(5)
+    parts = ["a", "word", "Größe", "é", " ", " ", " ", "\n", ".", ",", "9", "\n\n", "\t", "***", "'", "'s", "12", "×", "ª", "µ", "²", "中", "“q”", "\u00a0", "\u00ad", "\u0250", "\u024f", "😀", "(", "<|endoftext|>", "\r\n", "e\u0301", "\x7f"]
+    texts = [None, "", " ", "\n", " a", "a ", "\n a", *("".join(r.choice(parts if r.random() < 0.3 else parts[:11]) for _ in range(r.randint(0, 12))) for _ in range(4000))]
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    wanted = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kind, slices in ((pa.string(), 1 << 20), (pa.large_string(), 100)):
+        monkeypatch.setattr(tokens, "SIDE_BY_SIDE", slices)
+        monkeypatch.setattr(tokens, "LAID", 64)
+        monkeypatch.setattr(tokens, "REMEMBERED", 50)
+        own = tokens.Encoder(queries.tokenizer_path())
+        assert own.direct and own.parted
+        assert [x.tolist() for x in own.encode_all(pa.array(texts, kind).slice(1))] == wanted[1:]
+    monkeypatch.undo()
+    own = tokens.Encoder(queries.tokenizer_path())
+    list(own.encode_all(pa.array(["known words", "x, x. x***\nx"])))
+    text = "x words,\nx words. words***"
+    monkeypatch.setattr(own, "word", None)
+    monkeypatch.setattr(own, "whole", None)
+    assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
