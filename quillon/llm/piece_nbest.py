@@ -25,7 +25,6 @@ are encoded each for itself; an empty table gives no rows; other columns are ign
 from __future__ import annotations
 
 import heapq
-import re
 from array import array
 from bisect import insort
 from collections.abc import Iterator
@@ -120,13 +119,13 @@ class Memory:
         self.ids = np.zeros(0, np.int32)
         self.characters = 0
 
-    def add(self, words: list[str], top: np.ndarray, loss: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """Results of the words that follow in number."""
+    def add(self, lengths: np.ndarray, top: np.ndarray, loss: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Results of the words that follow in number, which have so many characters."""
         self.top, self.loss, self.size = np.append(self.top, top), np.append(self.loss, loss), np.append(self.size, size)
         self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
         self.ids = np.append(self.ids, ids)
-        self.times = np.append(self.times, np.zeros(len(words), np.int64))
-        self.characters += sum(map(len, words))
+        self.times = np.append(self.times, np.zeros(len(lengths), np.int64))
+        self.characters += int(lengths.sum())
 
     def joined(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of words, one after another."""
@@ -142,7 +141,7 @@ class Memory:
         most = most[(self.times[most] > 1) & (np.cumsum(lengths[most]) <= _HELD_CHARS // 2)]
         own = [words[k] for k in most.tolist()]
         out.numbers.update(zip(own, range(len(own)), strict=True))
-        out.add(own, self.top[most], self.loss[most], self.size[most], self.joined(most))
+        out.add(lengths[most], self.top[most], self.loss[most], self.size[most], self.joined(most))
         return out
 
 
@@ -165,13 +164,14 @@ class Segmenter:
         self.unknown = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p) for p in self.pieces), default=1)
         # The state after those of the trie stands for a character that is no piece.
-        self.score_of = np.append(self.trie.score, self.unknown)
-        self.piece_of = np.append(self.trie.piece, -1)
+        # The last, which is also at -1, is that of no edge.
+        self.score_of = np.concatenate([self.trie.score, [self.unknown, -np.inf]])
+        self.piece_of = np.concatenate([self.trie.piece, [-1, -1]])
         self.unknown_id = processor.unk_id()
         self.bytes = {int(names[i][3:5], 16): i for i in range(size) if processor.is_byte(i)}
         self.text_of = [b"" if processor.is_control(i) else bytes([int(names[i][3:5], 16)]) if processor.is_byte(i) else names[i].encode() for i in range(size)]
         self.memory = Memory()
-        self._searches: dict[str, Best] = {}
+        self._searches: dict[str, tuple[Best, list[bool]]] = {}
         # For decoding many ids at once: every id's text with spaces for space marks, then all again without a first space.
         shown = [t.replace(SPACE.encode(), b" ") for t in self.text_of]
         self.shown = pa.array(shown + [t.removeprefix(b" ") for t in shown], pa.binary())
@@ -190,13 +190,13 @@ class Segmenter:
             out.append((stop - 1, self.unknown, None))
         return out
 
-    def _forward(self, word: str) -> tuple[array, float, array]:
+    def _forward(self, word: str, edges: list[list[tuple[int, float, int | None]]] | None = None) -> tuple[array, float, array]:
         """The best score from the start to every place, the second best of the whole word, and for every place the start
-        of the best edge that ends there."""
+        of the best edge that ends there.  edges: those that end at each place from 1 on, if they are at hand."""
         ahead, second, back = array("d", [0.0]), array("d", [-np.inf]), array("q", [0])
         for stop in range(1, len(word) + 1):
             one, two, at = -np.inf, -np.inf, 0
-            for start, score, _ in self._ending(word, stop):
+            for start, score, _ in edges[stop - 1] if edges else self._ending(word, stop):
                 through = ahead[start] + score
                 if through > one:
                     one, two, at = through, max(one, two), start
@@ -210,7 +210,10 @@ class Segmenter:
 
     def search(self, word: str) -> Best:
         """The n best segmentations of the whole lattice of word."""
-        ahead = self._forward(word)[0]
+        # Paths that meet at a place go on by the same edges; those of a long word are laid out anew, so that they take no memory.
+        edges = [self._ending(word, stop) for stop in range(1, len(word) + 1)] if len(word) <= _LONG else None
+        ahead = self._forward(word, edges)[0]
+        ways: dict[int, list[tuple]] = {}
         # Ascending: (minus the best whole score through the path, number, place, score of the path, the path as links).
         # A path's best edge leaves that score as it is, so it is followed at once and only the others are put off.
         open_paths: list[tuple] = [(-ahead[-1], 0, len(word), 0.0, None)]
@@ -218,8 +221,12 @@ class Segmenter:
         while open_paths and room >= 0:
             _, _, place, behind, path = open_paths.pop(0)
             while place:
-                here = [(ahead[start] + score, start, score, piece) for start, score, piece in self._ending(word, place)]
-                here.sort(key=_by_score)
+                here = ways.get(place)
+                if here is None:
+                    here = [(ahead[start] + score, start, score, piece) for start, score, piece in (edges[place - 1] if edges else self._ending(word, place))]
+                    here.sort(key=_by_score)
+                    if edges:
+                        ways[place] = here
                 for through, start, score, piece in here[1:] if room else ():
                     cost = -(through + behind)
                     if len(open_paths) >= room:
@@ -270,90 +277,83 @@ class Segmenter:
         return [(t, x, data[a:b]) for t, x, a, b in zip(top.tolist(), loss.tolist(), (ends - 4 * size).tolist(), ends.tolist(), strict=True)]
 
     def _pass(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The forward pass over many words side by side, place by place: their best scores, losses, numbers of ids, and all ids."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        # The places of a word are numbered one after another, one more than it has characters.
-        first = np.cumsum(lengths + 1) - lengths - 1
-        within = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.repeat(first, lengths) + within
-        left = np.repeat(lengths, lengths) - within  # characters to the word's end
-        # An edge is one number, so that sorting puts it in order: the end within its word, the end, the start, the state.
-        for_state, for_depth, for_place = ((n).bit_length() for n in (len(self.trie.piece), int(lengths.max()), len(chars) + len(words)))
-        keys = []
-
-        def edges(at: np.ndarray, depth: int, state: np.ndarray | int) -> None:
-            end = (within[at] + depth) << for_place | (place[at] + depth)
-            keys.append((end << for_depth | (1 << for_depth) - 1 - depth) << for_state | state)
-
-        on, now = np.arange(len(chars)), np.zeros(len(chars), np.int64)
-        whole = np.zeros(len(chars), bool)  # whether the character is a piece
-        for depth in range(1, self.longest + 1):
-            now = self.trie.step(now, chars[on + depth - 1])
+        """The forward pass over many words side by side, place by place: their best scores, losses, numbers of ids, and all ids.
+
+        Characters lie by their place in the word, then by word, longest words first: the words that reach a place are the first so
+        many, and all that concerns a place is one stretch of an array.  An edge lies at its last character, for each length apart."""
+        given = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-given, kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        most = int(given.max())
+        reach = np.append(len(words) - np.cumsum(np.bincount(given, minlength=most + 1))[:most], 0)  # words that hold a character at a place
+        at = np.concatenate([[0], np.cumsum(reach)])  # where a place's characters begin
+        place = np.repeat(np.arange(most), reach[:most])
+        chars = np.empty(len(place), np.uint32)
+        within = np.arange(len(place)) - np.repeat(np.cumsum(given) - given, given)
+        chars[at[within] + np.repeat(rank, given)] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        following = np.arange(len(place)) + reach[place]  # a character's next in its word, if there is one
+        ends = np.arange(len(place)) - at[place] >= reach[place + 1]
+        longest = min(self.longest, most)
+        # Edges of a length begin with those that end at the first place possible.
+        base = np.cumsum([0, *(len(place) - at[: longest - 1])]) - at[:longest]
+        state = np.full(int(base[-1]) + len(place), -1, np.int32)
+        some = np.zeros((longest, most), bool)  # whether edges of a length end at a place
+        on, now = np.arange(len(place)), np.zeros(len(place), np.int64)
+        for k in range(longest):
+            now = self.trie.step(now, chars[on])
             going = now >= 0
             on, now = on[going], now[going]
             is_piece = self.trie.piece[now] >= 0
-            if depth == 1:
-                whole[on[is_piece]] = True
-            edges(on[is_piece], depth, now[is_piece])
-            more = left[on] > depth
-            on, now = on[more], now[more]
+            state[base[k] + on[is_piece]] = now[is_piece]
+            some[k, place[on[is_piece]]] = True
+            more = ~ends[on]
+            on, now = following[on[more]], now[more]
             if not len(on):
                 break
-        edges(np.flatnonzero(~whole), 1, len(self.trie.piece))
-        key = np.concatenate(keys)
-        key.sort()
-        state = key & (1 << for_state) - 1
-        key >>= for_state
-        depth = (1 << for_depth) - 1 - (key & (1 << for_depth) - 1)
-        key >>= for_depth
-        stop = key & (1 << for_place) - 1
-        key >>= for_place
-        start = stop - depth
+        some[0] = True
+        one_long = state[: len(place)]
+        one_long[one_long < 0] = len(self.trie.piece)
         score = self.score_of[state]
-        ahead, second = np.full(len(chars) + len(words), -np.inf), np.full(len(chars) + len(words), -np.inf)
-        ahead[first] = 0.0
-        back = np.zeros(len(ahead), np.int64)
-        cuts = np.searchsorted(key, np.arange(1, int(lengths.max()) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # all edges that end at one place of their words
-            if a == b:
-                continue
-            ends = stop[a:b]
-            begins = np.concatenate([[True], ends[1:] != ends[:-1]])
-            new = np.flatnonzero(begins)
-            through = ahead[start[a:b]] + score[a:b]
-            top = np.maximum.reduceat(through, new)
-            best = np.flatnonzero(through == np.repeat(top, np.diff(new, append=b - a)))
-            group = (np.cumsum(begins) - 1)[best]
-            best = best[np.concatenate([[True], group[1:] != group[:-1]])]  # the first of equals
-            ahead[ends[new]], back[ends[new]] = top, a + best
-            through[best] = -np.inf
-            np.maximum(through, second[start[a:b]] + score[a:b], out=through)
-            second[ends[new]] = np.maximum.reduceat(through, new)
+        tops, seconds = np.zeros(len(words)), np.full(len(words), -np.inf)
+        ahead, second, back = [tops.copy()], [seconds.copy()], np.zeros(len(place), np.int64)
+        for stop in range(most):  # the last character of the edges
+            n = int(reach[stop])
+            top, next_top, by = np.full(n, -np.inf), np.full(n, -np.inf), back[at[stop] : at[stop + 1]]
+            for k in np.flatnonzero(some[: stop + 1, stop])[::-1].tolist():  # from the smallest start on, of equals the first
+                own = score[base[k] + at[stop] :][:n]
+                through = ahead[stop - k][:n] + own
+                by[through > top] = k
+                np.maximum(next_top, np.minimum(top, through), out=next_top)
+                np.maximum(next_top, second[stop - k][:n] + own, out=next_top)
+                np.maximum(top, through, out=top)
+            ahead.append(top)
+            second.append(next_top)
+            tops[reach[stop + 1] : n], seconds[reach[stop + 1] : n] = top[reach[stop + 1] :], next_top[reach[stop + 1] :]
         # The best paths, from the ends back.
-        at, live, steps = first + lengths, np.flatnonzero(lengths > 0), []
+        live, stop, steps = order[: reach[0]], given[order[: reach[0]]] - 1, []
         while len(live):
-            edge = back[at[live]]
-            steps.append((live, self.piece_of[state[edge]], start[edge]))
-            at[live] = start[edge]
-            live = live[at[live] > first[live]]
-        owner, piece, start = (np.concatenate([x[k] for x in steps[::-1]] or [np.zeros(0, np.int64)]) for k in range(3))
-        order = np.argsort(owner, kind="stable")
-        owner, piece, start = owner[order], piece[order], start[order]
+            last = at[stop] + rank[live]
+            k = back[last]
+            steps.append((live, self.piece_of[state[base[k] + last]], last))
+            stop = stop - k - 1
+            live, stop = live[stop >= 0], stop[stop >= 0]
+        owner, piece, last = (np.concatenate([x[k] for x in steps[::-1]] or [np.zeros(0, np.int64)]) for k in range(3))
+        sequence = np.argsort(owner, kind="stable")
+        owner, piece, last = owner[sequence], piece[sequence], last[sequence]
         # Those below 0 stand for a character each, which is written out.
         odd, size = np.flatnonzero(piece < 0), np.ones(len(piece), np.int64)
         if len(odd):
-            which, of = np.unique(chars[start[odd] - owner[odd]], return_inverse=True)
+            which, of = np.unique(chars[last[odd]], return_inverse=True)
             spelt = [self._spelt(chr(c)) for c in which.tolist()]
             size[odd] = np.array([len(x) for x in spelt])[of]
-            piece, at = np.repeat(piece, size), (np.cumsum(size) - size)[odd]
+            piece, begin = np.repeat(piece, size), (np.cumsum(size) - size)[odd]
             for k in range(max(map(len, spelt))):
-                some = size[odd] > k
-                piece[at[some] + k] = np.array([x[k] if k < len(x) else -1 for x in spelt])[of[some]]
-        tops = ahead[first + lengths]
+                open_ = size[odd] > k
+                piece[begin[open_] + k] = np.array([x[k] if k < len(x) else -1 for x in spelt])[of[open_]]
         with np.errstate(invalid="ignore"):
-            losses = tops - second[first + lengths]
-        return tops, losses, np.bincount(owner, size, minlength=len(words)).astype(np.int64), piece.astype(np.int32)
+            losses = tops - seconds
+        return tops[rank], losses[rank], np.bincount(owner, size, minlength=len(words)).astype(np.int64), piece.astype(np.int32)
 
     def _spelt(self, character: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -361,30 +361,49 @@ class Segmenter:
         self._put(ids, character, None)
         return ids.tolist()
 
-    def learn(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The numbers that the memory has for the words of each text; those that it doesn't hold get the forward pass."""
+    def words(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts as the model normalises them, one after another, and where each text's begin and the last's end:
+        space marks, if there are any, and what follows them up to the next.  They are found by their bytes, all texts side by side."""
+        normal = [self.processor.normalize(text).encode() if text else b"" for text in texts]
+        at = np.zeros(len(normal) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)), out=at[1:])
+        data = b"".join(normal)
+        raw = np.frombuffer(data, np.uint8)
+        first = np.zeros(len(raw) + 1, bool)
+        one, two, three = SPACE.encode()
+        marks = np.flatnonzero((raw[:-2] == one) & (raw[1:-1] == two) & (raw[2:] == three))
+        first[marks[np.diff(marks, prepend=-3 - len(SPACE.encode())) != 3]] = True
+        first[at[:-1]] = True  # of an empty text, where the next begins
+        first[-1] = False
+        start = np.flatnonzero(first)
+        found = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.append(start, len(raw))), pa.py_buffer(data))
+        return found, np.searchsorted(start, at)
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """The numbers that the memory has for the words; those that it doesn't hold get the forward pass."""
         if len(self.memory.numbers) >= _HELD or self.memory.characters >= _HELD_CHARS:
             self.memory = self.memory.kept()
         numbers, held = self.memory.numbers, len(self.memory.numbers)
-        out = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in texts]
+        # Only the distinct ones become Python's strings.
+        coded = words.dictionary_encode()
+        own = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+        out = own[coded.indices.to_numpy()]
         new = list(islice(numbers, held, None))
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        ends, long = np.cumsum(lengths), np.append(np.flatnonzero(lengths > _LONG), len(new))
         found, at = [], 0
         while at < len(new):
-            if len(new[at]) > _LONG:
+            if lengths[at] > _LONG:
                 top, loss, ids = self._alone(new[at])
                 found.append((np.array([top]), np.array([loss]), np.array([len(ids) // 4]), np.frombuffer(ids, np.int32)))
                 at += 1
                 continue
-            stop, size = at, 0
-            while stop < len(new) and size < _TOGETHER and len(new[stop]) <= _LONG:
-                size += len(new[stop])
-                stop += 1
+            stop = int(min(np.searchsorted(ends, ends[at] - lengths[at] + _TOGETHER) + 1, long[np.searchsorted(long, at)]))
             found.append(self._pass(new[at:stop]))
             at = stop
         if found:
-            self.memory.add(new, *map(np.concatenate, zip(*found, strict=True)))
-        if out:
-            self.memory.times += np.bincount(np.concatenate(out), minlength=len(self.memory.times))
+            self.memory.add(lengths, *map(np.concatenate, zip(*found, strict=True)))
+        self.memory.times += np.bincount(out, minlength=len(self.memory.times))
         return out
 
     def encode(self, text: str | None) -> list[tuple[float, np.ndarray]]:
@@ -393,41 +412,49 @@ class Segmenter:
 
     def encode_many(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """encode of each text; new words of all of them are learnt together."""
-        split = [_WORD.findall(self.processor.normalize(text)) if text else [] for text in texts]
-        numbers, memory = self.learn(split), self.memory
-        for words, own in zip(split, numbers, strict=True):
-            yield self._nbest(words, own, memory)
+        for best in self._segmented(texts):
+            yield [(score, ids) for score, ids, _ in best]
+
+    def _segmented(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray, bool]]]:
+        """encode_many, and with each segmentation whether its ids are written by the same bytes as the best one's."""
+        words, bounds = self.words(texts)
+        numbers, memory = self.learn(words), self.memory
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield self._nbest(words[a:b], numbers[a:b], memory)
 
-    def _nbest(self, words: list[str], numbers: np.ndarray, memory: Memory) -> list[tuple[float, np.ndarray]]:
+    def _nbest(self, words: pa.Array, numbers: np.ndarray, memory: Memory) -> list[tuple[float, np.ndarray, bool]]:
         top, best = float(memory.top[numbers].sum()), memory.joined(numbers)
-        out = [(top, best)]
-        if self.n > 1 and words:
+        out = [(top, best, True)]
+        if self.n > 1 and len(words):
             losses = memory.loss[numbers]
             if self.n - 1 < len(words):
                 near = np.flatnonzero(losses <= np.partition(losses, self.n - 2)[self.n - 2])
             else:
                 near = np.arange(len(words))
             least = [k for k in near[np.argsort(losses[near], kind="stable")[: self.n - 1]].tolist() if np.isfinite(losses[k])]
-            searched = {k: self._searched(words[k]) for k in least}
+            searched = {k: self._searched(words[k].as_py()) for k in least}
             ends = np.cumsum(memory.size[numbers])
-            for loss, taken in self._combine(searched):
-                parts, done = [], 0
+            for loss, taken in self._combine({k: found for k, (found, _) in searched.items()}):
+                parts, done, alike = [], 0, True
                 for k, r in sorted(taken):
                     end = int(ends[k])
-                    parts += [best[done : end - memory.size[numbers[k]]], np.frombuffer(searched[k][r][1], np.int32)]
-                    done = end
-                out.append((top - loss, np.concatenate([*parts, best[done:]])))
+                    parts += [best[done : end - memory.size[numbers[k]]], np.frombuffer(searched[k][0][r][1], np.int32)]
+                    alike, done = alike and searched[k][1][r], end
+                out.append((top - loss, np.concatenate([*parts, best[done:]]), alike))
         return out
 
-    def _searched(self, word: str) -> Best:
-        found = self._searches.get(word)
-        if found is None:
+    def _searched(self, word: str) -> tuple[Best, list[bool]]:
+        """search, and of each segmentation whether its ids are written by the same bytes as the first one's."""
+        held = self._searches.get(word)
+        if held is None:
             found = self.search(word)
+            shown = [b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, np.int32).tolist())) for _, ids in found]
+            held = found, [x == shown[0] for x in shown]
             if len(word) <= _LONG:
                 if len(self._searches) >= _SEARCHED:
                     self._searches.clear()
-                self._searches[word] = found
-        return found
+                self._searches[word] = held
+        return held
 
     def _combine(self, searched: dict[int, Best]) -> list[tuple[float, list[tuple[int, int]]]]:
         """The n - 1 smallest losses but none, of choices of a segmentation for some of the words: (loss, [(word, rank)])."""
@@ -477,9 +504,6 @@ def _by_score(edge: tuple) -> float:
     return -edge[0]
 
 
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 def segmenter(model_file: str, n: int) -> Segmenter:
     """One for each worker process."""
     if (model_file, n) not in _models:
@@ -494,22 +518,25 @@ def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = segmenter(model_file, n)
         for batch in batches:
-            rows, ranks, scores, ids, size = [], [], [], [], 0
+            rows, ranks, scores, ids, like, size = [], [], [], [], [], 0
 
             def full() -> pa.RecordBatch:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat)]
                 if decoded:
-                    columns.append(own.decode_lists(columns[-1]))
+                    # Ids that are written by the same bytes have one text.
+                    of, once = np.unique(like, return_index=True)
+                    columns.append(own.decode_lists(columns[-1].take(pa.array(once))).take(pa.array(np.searchsorted(of, like))))
                 return pa.RecordBatch.from_arrays(columns, names=[id_column, "rank", "score", "ids", *([decoded] if decoded else [])])
 
             characters = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(characters, (characters[at - 1] if at else 0) + _TEXTS, "right")))
-                for row, best in enumerate(own.encode_many(batch.column(1).slice(at, stop - at).to_pylist()), at):
-                    for rank, (score, found) in enumerate(best, 1):
+                for row, best in enumerate(own._segmented(batch.column(1).slice(at, stop - at).to_pylist()), at):
+                    for rank, (score, found, alike) in enumerate(best, 1):
+                        like.append(len(like) - rank + 1 if alike else len(like))
                         rows.append(row)
                         ranks.append(rank)
                         scores.append(score)
@@ -517,7 +544,7 @@ def encode_texts(docs: DataFrame, model_file: str, n: int = 4, id_column: str =
                         size += len(found)
                     if size > _OUT // 4:
                         yield full()
-                        rows, ranks, scores, ids, size = [], [], [], [], 0
+                        rows, ranks, scores, ids, like, size = [], [], [], [], [], 0
                 at = stop
             if rows:
                 yield full()

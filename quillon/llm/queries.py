@@ -205,7 +205,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     encoded = piece_nbest.encode_texts(table(spark, sf_dir, "documents"), model, n=4, decoded="text")
-    return encoded.select("doc_id", "rank", "score", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"), F.length("text").alias("n_chars"), F.crc32("text").alias("text_crc32"))
+    listed = F.expr("trim(BOTH '[]' FROM to_json(ids))")  # as array_join gives them, which makes a string of every id first
+    return encoded.select("doc_id", "rank", "score", F.size("ids").alias("n_pieces"), F.crc32(listed).alias("ids_crc32"), F.length("text").alias("n_chars"), F.crc32("text").alias("text_crc32"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
