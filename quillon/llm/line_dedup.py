@@ -117,12 +117,14 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, long_line: int = LONG_LIN
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys(id_column, text_column))
     out = whole.join(found.select(F.col("id").alias("id2"), F.col("th").alias("th2"), "runs"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
     text = F.col(f"row.`{text_column}`")
-    out = out.select("row", "runs", F.split(text, "\n", -1).alias("lines"))
+    # Only texts with runs are cut. Inside the lambda over runs an expression would be worked out for each line that goes:
+    # numbers is bound by a lambda of its own, once a text.
+    out = out.select("row", "runs", F.when(F.col("runs").isNotNull(), F.split(text, "\n", -1)).alias("lines"))
     worded = f"filter(transform(lines, (l, i) -> if(trim(BOTH {_SPACES} FROM l) <> '', i, null)), i -> i is not null)"
-    out = out.withColumn("numbers", F.expr(f"if(runs is null, null, {worded})"))
     gone = "array_sort(array_distinct(flatten(transform(runs, s -> transform(sequence(s.a, s.b), k -> get(numbers, k))))))"
-    out = out.withColumn("removed", F.expr(f"if(runs is null, cast(array() as array<int>), {gone})"))
+    out = out.withColumn("removed", F.expr(f"if(runs is null, cast(array() as array<int>), transform(array({worded}), numbers -> {gone})[0])"))
     clean = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(F.expr("transform(array_except(sequence(0, size(lines) - 1), removed), i -> get(lines, i))"), "\n"))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     own = [clean.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    about = F.struct(F.col("removed").alias("removed_lines"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"))
+    about = F.struct(F.col("removed").alias("removed_lines"), F.coalesce(n_lines, F.lit(0)).alias("n_lines"))
     return out.select(*own, about.alias(free_name(docs, added)))

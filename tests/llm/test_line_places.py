@@ -32,3 +32,19 @@ def test_long_lines(spark, n):
     got = {r.id for r in line_dedup._places(docs, 2, n, "doc_id", "text").collect() if r.around[-1]}
     words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in LINES]
     assert got == {k for k, w in enumerate(words) if w and w >= n}
+
+
+def test_lines_of_a_text_are_numbered_once(spark):
+    """Numbers worked out inside the lambda over runs would take the square of a text's lines."""
+    docs = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
+    plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    for_each_line = plan.split("sequence(lambda")[1].split("+- ")[0]
+    assert "numbers" in for_each_line and "trim(" not in for_each_line
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_counted_lines(spark, window):
+    texts = ["", "\n", "é", "a\n\nb\n", "one two three four five\n\n", "one two three four five\n\n", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.line_dedup.n_lines) for r in line_dedup.dedup_lines(docs, window).collect()}
+    assert got == {k: ("\n" if k == 5 else t, 0 if t is None else t.count("\n") + 1) for k, t in enumerate(texts)}
